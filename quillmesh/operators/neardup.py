@@ -1,0 +1,299 @@
+"""Near-duplicate texts by adaptive multi-match prefixes.
+
+Texts become sets of character runs, ordered from rare to frequent by one
+order for all of them.  Two sets that overlap enough must share at least l runs
+within the first ``n - overlap + l`` of each; the longer that prefix, the more
+shared runs a pair needs before it is worth verifying.  Each text picks its own
+l from the estimated cost: the matches its prefix would meet, and the
+candidates that could survive them.
+
+Counting shared runs would move every match through a shuffle.  Instead runs
+are dealt to ``GROUPS`` groups by hash: of l shared runs, some group holds at
+least l / GROUPS, so each group counts its own matches inside one task and only
+pairs that reach their share anywhere leave it.  A group is cut further by
+size bands (a set never matches one much smaller) and, where a band is large,
+into pieces of bounded size.  Nothing is capped and every candidate is verified
+against whole texts.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmesh.operators.components import connected_components
+from quillmesh.session import cut
+
+RUN = 5
+#: Groups that runs are dealt to.
+GROUPS = 4
+#: Choices of the runs some group has to share; c of them in one group mean (c - 1) * GROUPS + 1 in all.
+LEVELS = (1, 2, 4, 8, 12)
+NEEDED = tuple((c - 1) * GROUPS + 1 for c in LEVELS)
+#: Counters of the frequency sketch that orders the runs (a fixed size; a collision only worsens the order).
+SKETCH = 1 << 18
+#: What verifying one candidate costs, in matches met.
+VERIFY = 500.0
+#: Texts of a piece of a band.
+PIECE = 40_000
+#: Matches expanded at a time inside a task.
+CHUNK = 2_000_000
+#: Copies of two texts are listed pair by pair up to so many pairs, beyond that through their representatives.
+EXPAND = 4096
+
+_OTHER = regex.compile(r"[^\p{L}\p{N}]+")
+
+
+def letters_and_digits(text: str | None) -> str:
+    """The Unicode letters and digits of ``text`` in lower case."""
+    return _OTHER.sub("", text.lower()) if text else ""
+
+
+def run_hashes(text: str, run: int = RUN) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of ``run`` characters."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(a) - run + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64)
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(run):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i : i + n]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def _key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def text_classes(docs: DataFrame, doc_id: str, content: str, run: int = RUN) -> DataFrame:
+    """Distinct ``id, key``: documents with at least ``run`` letters and digits, and the key of their reduced text, which is ``reduced``."""
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reduced = [letters_and_digits(t) for t in batch["content"]]
+            yield pd.DataFrame({"id": batch["id"], "reduced": reduced})[[len(t) >= run for t in reduced]]
+
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(content).cast("string").alias("content")).where("id is not null and content is not null")
+    return rows.mapInPandas(reduce, "id string, reduced string").withColumn("key", _key(F.col("reduced")))
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SKETCH, dtype=np.int64)
+    for batch in batches:
+        for text in batch["reduced"]:
+            total += np.bincount((run_hashes(text) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) if len(text) > 20_000 else 0
+        rest = [run_hashes(t) for t in batch["reduced"] if len(t) <= 20_000]
+        if rest:
+            total += np.bincount((np.concatenate(rest) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    at = np.flatnonzero(total)
+    for s in range(0, len(at), 65_536):
+        yield pd.DataFrame({"at": at[s : s + 65_536], "n": total[at[s : s + 65_536]]})
+
+
+def choose_level(frequency: np.ndarray, spare: int, overlap: int) -> int:
+    """The place in ``LEVELS`` of the choice with the least estimated cost.
+
+    A prefix of ``spare + l`` runs meets about the sum of their frequencies;
+    at most one l-th of those matches can be texts that share l runs with it.
+    """
+    met = np.cumsum(frequency, dtype=np.float64)
+    costs = []
+    for l in NEEDED:
+        if l > overlap:
+            break
+        m = met[min(spare + l, len(met)) - 1]
+        costs.append(m + VERIFY * m / l)
+    return int(np.argmin(costs))
+
+
+def _matches(rows: pd.DataFrame, share: float) -> Iterator[pd.DataFrame]:
+    """Pairs of one cell that share enough runs of its group.  Probes look for texts that are not larger than they are."""
+    asks = rows["end"].to_numpy() > 0
+    index, probes = rows[~asks], rows[asks]
+    if index.empty or probes.empty:
+        return
+    n_tokens = index["tokens"].map(len).to_numpy() // 4
+    tokens = np.frombuffer(b"".join(index["tokens"]), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(index)), n_tokens)
+    # The least level whose prefix holds the token, for the smaller set's guarantee.
+    ends = np.array(list(index["ends"]), dtype=np.int64)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
+    level = np.zeros(len(tokens), dtype=np.int64)
+    for c in range(len(LEVELS)):
+        level += place >= ends[owner, c]
+    kept = level < len(LEVELS)
+    tokens, owner, level = tokens[kept], owner[kept], level[kept]
+    code = (tokens.astype(np.uint64) << np.uint64(3)) | level.astype(np.uint64)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    size_of, id_of = index["size"].to_numpy(), index["no"].to_numpy()
+    p_size, p_id, p_level = probes["size"].to_numpy(), probes["no"].to_numpy(), probes["level"].to_numpy()
+    p_tokens = [np.frombuffer(t, dtype=np.uint32)[:e] for t, e in zip(probes["tokens"], probes["end"])]
+    p_len = np.array([len(t) for t in p_tokens])
+    asked = np.concatenate(p_tokens).astype(np.uint64) << np.uint64(3)
+    p_owner = np.repeat(np.arange(len(probes)), p_len)
+    first = np.searchsorted(code, asked)
+    last = np.searchsorted(code, asked | p_level[p_owner].astype(np.uint64), side="right")
+    met = last - first
+    starts = np.r_[0, np.cumsum(p_len)]
+    load = np.r_[0, np.cumsum(met)][starts]
+    at = 0
+    while at < len(probes):
+        to = max(at + 1, int(np.searchsorted(load, load[at] + CHUNK, side="right")) - 1)
+        s, e = starts[at], starts[to]
+        n = met[s:e]
+        total = int(n.sum())
+        if total:
+            posting = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[s:e], n)
+            pair = np.repeat(p_owner[s:e] - at, n) * np.int64(len(index)) + owner[posting]
+            pair.sort()
+            cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            count = np.diff(np.r_[cuts, total])
+            pair = pair[cuts]
+            p, y = pair // len(index) + at, pair % len(index)
+            ok = count >= np.array(LEVELS)[p_level[p]]
+            ok &= (size_of[y] < p_size[p]) | ((size_of[y] == p_size[p]) & (id_of[y] < p_id[p]))
+            ok &= size_of[y] >= share * p_size[p]
+            if ok.any():
+                yield pd.DataFrame({"x": p_id[p[ok]], "y": id_of[y[ok]]})
+        at = to
+
+
+def candidate_pairs(texts: DataFrame, share: float) -> DataFrame:
+    """Distinct pairs ``x, y`` of ``no`` from ``texts`` (no, reduced) that may reach Jaccard similarity ``share``; none that does is missing."""
+    spark = texts.sparkSession
+    counted = texts.select("reduced").mapInPandas(_sketch, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sketch = np.zeros(SKETCH, dtype=np.int64)
+    sketch[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    frequency = spark.sparkContext.broadcast(sketch)
+    width = math.log(1.0 / share)
+    half = share / (1.0 + share)
+    edges = [math.exp(b * width) for b in range(128)]
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for no, text in zip(batch["no"], batch["reduced"]):
+                h = run_hashes(text)
+                n = len(h)
+                f = frequency.value[(h % np.uint64(SKETCH)).astype(np.int64)]
+                order = np.lexsort((h, f))
+                h, f = h[order], f[order]
+                band = int(math.log(n) / width + 1e-9)
+                # As the larger of a pair it needs this many common runs with its own band and the one below,
+                # as the smaller 2 share / (1 + share) of its own.
+                least = math.ceil(share * n - 1e-9)
+                own_spare = n - max(least, math.ceil(half * (n + max(share * n, edges[band] - 1)) - 1e-9))
+                low_spare, index_spare = n - least, n - math.ceil(2 * half * n - 1e-9)
+                level = choose_level(f, own_spare, least)
+                group = (h >> np.uint64(40)) % np.uint64(GROUPS)
+                for g in range(GROUPS):
+                    spots = np.flatnonzero(group == g)
+                    ends = np.searchsorted(spots, [min(n, index_spare + l) for l in NEEDED])
+                    own_end, low_end = np.searchsorted(spots, [own_spare + NEEDED[level], low_spare + NEEDED[level]])
+                    tokens = h[spots[: max(ends[-1], low_end)]].astype(np.uint32)
+                    if len(tokens):
+                        out.append((no, n, band, g, level, int(own_end), int(low_end), ends.tolist(), tokens.tobytes()))
+            for s in range(0, len(out), 16_384):
+                yield pd.DataFrame(out[s : s + 16_384], columns=["no", "size", "band", "grp", "level", "own_end", "low_end", "ends", "tokens"])
+
+    cells = cut(texts.select("no", "reduced").mapInPandas(prefixes, "no long, size int, band int, grp int, level int, own_end int, low_end int, ends array<int>, tokens binary"))
+    # A large band is cut into pieces, and so are the probes that ask it: a probe asks every piece of a band, in its turn.
+    pieces = cells.groupBy("band", "grp").agg(F.count("*").alias("n")).groupBy("band").agg(F.ceil(F.max("n") / PIECE).cast("int").alias("pieces"))
+    above = pieces.select((F.col("band") - 1).alias("band"), F.col("pieces").alias("above"))
+    plan = F.broadcast(pieces.join(above, "band", "left").withColumn("turns", F.greatest("pieces", F.coalesce("above", F.lit(1)))).drop("above"))
+    columns = ["grp", "band", "piece", "turn", "no", "size", "level", "end", "ends", "tokens"]
+    stored = cells.join(plan, "band").withColumn("piece", F.pmod(F.xxhash64("no"), "pieces").cast("int"))
+    stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("end", F.lit(0)).select(*columns)
+    probes = cells.withColumn("to", F.explode(F.array(F.struct(F.col("band").alias("band"), F.col("own_end").alias("end")), F.struct((F.col("band") - 1).alias("band"), F.col("low_end").alias("end")))))
+    probes = probes.select(F.col("to.band").alias("band"), "grp", "no", "size", "level", F.col("to.end").alias("end"), F.array().cast("array<int>").alias("ends"), F.expr("substring(tokens, 1, 4 * to.end)").alias("tokens"))
+    probes = probes.where("end > 0").join(plan, "band").withColumn("turn", F.pmod(F.xxhash64("no"), "turns").cast("int"))
+    probes = probes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(*columns)
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        found = list(_matches(rows, share))
+        return pd.concat(found) if found else pd.DataFrame({"x": [], "y": []})
+
+    return stored.unionByName(probes).groupBy("grp", "band", "piece", "turn").applyInPandas(cell, "x long, y long").distinct()
+
+
+def _verify(share: float, run: int):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            for x, a, b in zip(batch["x"], batch["a"], batch["b"]):
+                if x != last:
+                    last, held = x, run_hashes(a, run)
+                other = run_hashes(b, run)
+                common = len(np.intersect1d(held, other, assume_unique=True))
+                keep.append(common / (len(held) + len(other) - common))
+            similarity = np.array(keep)
+            ok = similarity >= share - 1e-12
+            yield pd.DataFrame({"x": batch["x"][ok], "y": batch["y"][ok], "similarity": similarity[ok]})
+
+    return verify
+
+
+def near_duplicate_links(docs: DataFrame, doc_id: str = "id", content: str = "content", share: float = 0.6, run: int = RUN) -> tuple[DataFrame, DataFrame]:
+    """Membership ``id, no`` of each document in a class of equal reduced texts, and links ``x > y`` (``no``) between classes with their ``similarity``.
+
+    Documents without an id, or with fewer than ``run`` letters and digits
+    (null and empty contents too), belong to no class.  Rows repeated under one
+    id count once.  Links are direct; every pair of classes whose sets of runs
+    have a Jaccard similarity of ``share`` or more is among them.
+    """
+    # Both are written once: the numbers given here have to stay the same in every later stage.
+    rows = cut(text_classes(docs, doc_id, content, run))
+    texts = cut(rows.select("key", "reduced").dropDuplicates(["key"]).withColumn("no", F.monotonically_increasing_id()))
+    members = rows.select("id", "key").distinct().join(texts.select("key", "no"), "key").select("id", "no")
+    pairs = candidate_pairs(texts, share)
+    with_y = pairs.join(texts.select(F.col("no").alias("y"), F.col("reduced").alias("b")), "y")
+    both = with_y.join(texts.select(F.col("no").alias("x"), F.col("reduced").alias("a")), "x").select("x", "y", "a", "b")
+    links = both.sortWithinPartitions("x").mapInPandas(_verify(share, run), "x long, y long, similarity double")
+    return cut(members), cut(links)
+
+
+def near_duplicate_pairs(docs: DataFrame, doc_id: str = "id", content: str = "content", share: float = 0.6) -> DataFrame:
+    """Pairs ``id_a < id_b`` of documents whose texts are equal or similar by ``share``.
+
+    Copies of linked texts are listed pair by pair while two classes give up to
+    ``EXPAND`` pairs.  Where a hot group would give more, its classes are
+    linked through their smallest ids, and every copy with the smallest id of
+    its own class, so that no link is lost and no group is squared.
+    """
+    members, links = near_duplicate_links(docs, doc_id, content, share)
+    sizes = members.groupBy("no").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    ends = links.select("x", "y").unionByName(sizes.where("n > 1").select(F.col("no").alias("x"), F.col("no").alias("y")))
+    ends = ends.join(sizes.select(F.col("no").alias("x"), F.col("n").alias("n_x"), F.col("first").alias("first_x")), "x")
+    ends = ends.join(sizes.select(F.col("no").alias("y"), F.col("n").alias("n_y"), F.col("first").alias("first_y")), "y")
+    small = ends.where(F.col("n_x") * F.col("n_y") <= EXPAND).select("x", "y")
+    listed = small.join(members.select(F.col("no").alias("x"), F.col("id").alias("p")), "x").join(members.select(F.col("no").alias("y"), F.col("id").alias("q")), "y").select("p", "q")
+    hot = ends.where(F.col("n_x") * F.col("n_y") > EXPAND)
+    through = hot.where("x <> y").select(F.col("first_x").alias("p"), F.col("first_y").alias("q"))
+    star = hot.select(F.explode(F.array(F.struct(F.col("x").alias("no"), F.col("first_x").alias("p")), F.struct(F.col("y").alias("no"), F.col("first_y").alias("p")))).alias("s")).select("s.*").distinct()
+    star = star.join(members, "no").select("p", F.col("id").alias("q"))
+    pairs = listed.unionByName(through).unionByName(star).where("p <> q")
+    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "id", content: str = "content", share: float = 0.6) -> DataFrame:
+    """One row per document: ``id``, its ``class_id`` (smallest id of its equal texts), ``group_id`` (smallest id of its connected classes), ``copies`` and ``links`` to other classes."""
+    members, links = near_duplicate_links(docs, doc_id, content, share)
+    named = members.groupBy("no").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    degree = links.select(F.col("x").alias("no")).unionByName(links.select(F.col("y").alias("no"))).groupBy("no").agg(F.count("*").alias("links"))
+    groups = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labelled = named.join(groups.withColumnRenamed("node", "no"), "no", "left").join(degree, "no", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "no")).withColumn("links", F.coalesce("links", F.lit(0)))
+    least = labelled.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    labelled = labelled.join(least, "component")
+    return members.join(labelled, "no").select("id", "class_id", "group_id", "copies", "links")

@@ -1,0 +1,308 @@
+"""Most similar vectors for every vector: vantage-point trees, one per shard.
+
+A shallow vantage-point tree, fitted on a bounded sample, cuts each model's
+vectors into shards.  A shard builds its own tree over all its vectors.  Every
+vector first searches its own shard; the distance it reaches there and the
+distances of each shard to the vantage points decide, by the triangle
+inequality, which other shards it still has to visit.  ``prune`` relaxes both
+cuts: a part is skipped when ``prune`` times its lower bound exceeds the
+distance already reached, so one gives the exact answer and more than one
+trades recall for visits.  Distances are Euclidean between unit vectors, which
+order as cosines do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillmesh.session import cut
+
+#: Rows of the sample that the shard tree is fitted on (all rows are indexed).
+SAMPLE_ROWS = 8192
+#: Rows a shard aims at, and the most shards of a model.
+SHARD_ROWS = 8192
+MAX_SHARDS = 256
+#: Rows of a leaf inside a shard.
+LEAF_ROWS = 512
+#: Vantage points whose distances bound a part.
+PIVOTS = 24
+#: Queries that visit a shard together.
+QUERY_BLOCK = 32_768
+
+
+def usable_vectors(df: DataFrame, vec_id: str = "vec_id", model: str = "model", embedding: str = "embedding", dim: int = 64) -> DataFrame:
+    """Rows with exactly ``dim`` finite values that aren't all zero, as ``vec_id, model, embedding``.
+
+    Rows with a null id, model or embedding, or with a null value inside it, are left out.
+    """
+    return (
+        df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(model).cast("string").alias("model"), F.col(embedding).cast("array<float>").alias("embedding"))
+        .where(F.col("vec_id").isNotNull() & F.col("model").isNotNull() & (F.size("embedding") == dim))
+        .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    )
+
+
+def _unit(values: Iterable) -> np.ndarray:
+    x = np.array(list(values), dtype=np.float64)
+    if not len(x):
+        return x.reshape(0, 1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = x @ y.T
+    d *= -2.0
+    d += 2.0
+    np.maximum(d, 0.0, out=d)
+    return np.sqrt(d, out=d)
+
+
+def plant(x: np.ndarray, leaf: int, rng: np.random.Generator, most: int = 1 << 30) -> tuple[np.ndarray, list[tuple]]:
+    """A vantage-point tree over ``x``: its vantage points, and nodes ``(pivot, radius, inside, outside)``; a child below zero is leaf ``-1 - child``."""
+    pivots: list[np.ndarray] = []
+    nodes: list[tuple] = []
+    leaves = 0
+
+    def grow(rows: np.ndarray, parts: int) -> int:
+        nonlocal leaves
+        if len(rows) <= leaf or parts < 2:
+            leaves += 1
+            return -leaves
+        tries = x[rows[rng.choice(len(rows), min(5, len(rows)), replace=False)]]
+        seen = _distances(x[rows[:: max(1, len(rows) // 512)]], tries)
+        best = tries[int(np.argmax(seen.var(axis=0)))]
+        d = _distances(x[rows], best[None, :])[:, 0]
+        radius = float(np.median(d))
+        near = d <= radius
+        if near.all() or not near.any():
+            leaves += 1
+            return -leaves
+        at = len(nodes)
+        pivots.append(best)
+        nodes.append((len(pivots) - 1, radius, 0, 0))
+        inside = grow(rows[near], parts - parts // 2)
+        outside = grow(rows[~near], parts // 2)
+        nodes[at] = (nodes[at][0], radius, inside, outside)
+        return at
+
+    grow(np.arange(len(x)), most)
+    return np.array(pivots).reshape(len(pivots), x.shape[1]), nodes
+
+
+def descend(nodes: list[tuple], to_pivots: np.ndarray) -> np.ndarray:
+    """The leaf of each row, from its distances to the vantage points."""
+    out = np.zeros(len(to_pivots), dtype=np.int32)
+    todo = [(0, np.arange(len(to_pivots)))] if nodes else []
+    while todo:
+        at, rows = todo.pop()
+        if at < 0:
+            out[rows] = -1 - at
+            continue
+        pivot, radius, inside, outside = nodes[at]
+        near = to_pivots[rows, pivot] <= radius
+        todo += [(inside, rows[near]), (outside, rows[~near])]
+    return out
+
+
+def lower_bounds(to_pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least possible distance of each query (row) to any member of each part (column), by the triangle inequality."""
+    out = np.zeros((len(to_pivots), len(low)))
+    for v in range(to_pivots.shape[1]):
+        d = to_pivots[:, v : v + 1]
+        np.maximum(out, d - high[None, :, v], out=out)
+        np.maximum(out, low[None, :, v] - d, out=out)
+    return out
+
+
+class ShardTree:
+    """The vantage-point tree of one shard, searched for blocks of queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        pivots, nodes = plant(x, LEAF_ROWS, np.random.default_rng(len(x)))
+        leaf = descend(nodes, _distances(x, pivots)) if nodes else np.zeros(len(x), dtype=np.int32)
+        order = np.lexsort((ids, leaf))
+        self.ids, self.x, leaf = ids[order], x[order], leaf[order]
+        self.pivots = pivots[:PIVOTS] if nodes else x[:1]
+        d = _distances(self.x, self.pivots)
+        self.cuts = np.r_[np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]), len(x)]
+        self.low = np.array([d[s:e].min(axis=0) for s, e in zip(self.cuts[:-1], self.cuts[1:])])
+        self.high = np.array([d[s:e].max(axis=0) for s, e in zip(self.cuts[:-1], self.cuts[1:])])
+
+    def search(self, q: np.ndarray, k: int, reach: np.ndarray, prune: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of up to ``k`` nearest within ``reach``; missing ones have id -1."""
+        n = len(q)
+        best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, dtype=np.int64)
+        bounds = lower_bounds(_distances(q, self.pivots), self.low, self.high)
+        reach = reach.copy()
+        for leaf in np.argsort(bounds.mean(axis=0)):
+            rows = np.flatnonzero(bounds[:, leaf] * prune <= reach)
+            if not len(rows):
+                continue
+            s, e = self.cuts[leaf], self.cuts[leaf + 1]
+            d = _distances(q[rows], self.x[s:e])
+            some = np.flatnonzero((d <= reach[rows, None]).any(axis=1))
+            if not len(some):
+                continue
+            rows, d = rows[some], d[some]
+            d[d > reach[rows, None]] = np.inf
+            if d.shape[1] > k:
+                keep = np.argpartition(d, k - 1, axis=1)[:, :k]
+                ids, d = self.ids[s:e][keep], np.take_along_axis(d, keep, axis=1)
+            else:
+                ids = np.broadcast_to(self.ids[s:e], d.shape)
+            both_d, both_i = np.concatenate([best_d[rows], d], axis=1), np.concatenate([best_i[rows], ids], axis=1)
+            order = np.lexsort((both_i, both_d), axis=1)[:, :k]
+            best_d[rows], best_i[rows] = np.take_along_axis(both_d, order, axis=1), np.take_along_axis(both_i, order, axis=1)
+            reach[rows] = np.minimum(reach[rows], best_d[rows, k - 1])
+        best_i[np.isinf(best_d)] = -1
+        return best_i, best_d
+
+
+def _found(q_ids: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    at, slot = np.nonzero(ids >= 0)
+    return pd.DataFrame({"rep": q_ids[at], "other": ids[at, slot], "distance": d[at, slot]})
+
+
+def _fit(sample: pd.DataFrame, counts: dict[str, int]) -> dict[str, tuple[np.ndarray, list[tuple]]]:
+    trees = {}
+    for model, rows in sample.groupby("model"):
+        x = _unit(rows.sort_values("rep")["embedding"])
+        shards = min(MAX_SHARDS, max(1, round(counts[model] / SHARD_ROWS)), max(1, len(x) // 16))
+        trees[model] = plant(x, 1, np.random.default_rng(7), shards) if shards > 1 else (x[:1], [])
+    return trees
+
+
+def nearest(vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, prune: float = 1.25, queries: DataFrame | None = None) -> DataFrame:
+    """The ``k`` most similar vectors of the same model for every vector (or for ``queries``), as ``vec_id, other, cosine, rank``.
+
+    ``vectors`` and ``queries`` hold ``vec_id, model, embedding`` as
+    ``usable_vectors`` gives them; ``queries`` must be some of the vectors.
+    Equal cosines rank by id.  ``min_cosine`` bounds the search: what is
+    farther isn't looked for.  Exact copies of a vector are indexed once, with
+    the ``k + 1`` smallest of their ids, which are all that the order by
+    cosine and id can ever put among the first ``k``.  Fewer than ``k``
+    neighbours come out where there are fewer; an empty input gives no rows.
+    """
+    spark = vectors.sparkSession
+    # Copies collapse through partial aggregates, so that a vector that makes up a third of the rows is no hot group.
+    reps = cut(vectors.groupBy("model", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    counts = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return spark.createDataFrame([], "vec_id long, other long, cosine double, rank int")
+    at_hash = Window.partitionBy("model").orderBy(F.xxhash64("rep"), "rep")
+    sample = reps.withColumn("at", F.row_number().over(at_hash)).where(F.col("at") <= SAMPLE_ROWS).select("model", "rep", "embedding").toPandas()
+    trees = spark.sparkContext.broadcast(_fit(sample, counts))
+    if queries is None:
+        asked = reps.select("rep", F.lit(True).alias("asked"))
+    else:
+        wanted = queries.select("model", "embedding").distinct().withColumn("asked", F.lit(True))
+        asked = reps.join(wanted, ["model", "embedding"], "left").select("rep", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, rows in batch.groupby("model"):
+                pivots, nodes = trees.value[model]
+                x = _unit(rows["embedding"])
+                shard = descend(nodes, _distances(x, pivots)) if nodes else np.zeros(len(x), dtype=np.int32)
+                yield pd.DataFrame({"model": model, "rep": rows["rep"].to_numpy(), "shard": shard, "unit": list(x.astype(np.float64))})
+
+    placed = reps.mapInPandas(place, "model string, rep long, shard int, unit array<double>").join(asked, "rep")
+    # A tree fitted on a sample leaves uneven shards; parts of bounded size keep every task small.
+    sizes = placed.groupBy("model", "shard").agg(F.count("*").alias("n"))
+    parts = sizes.select("model", "shard", F.ceil(F.col("n") / (2 * SHARD_ROWS)).cast("int").alias("parts"))
+    placed = cut(placed.join(F.broadcast(parts), ["model", "shard"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts"))
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for (model, shard, part), rows in batch.groupby(["model", "shard", "part"]):
+                d = _distances(np.array(list(rows["unit"])), trees.value[model][0][:PIVOTS])
+                low, high = d.min(axis=0), d.max(axis=0)
+                old = kept.get((model, shard, part))
+                kept[model, shard, part] = (low, high) if old is None else (np.minimum(old[0], low), np.maximum(old[1], high))
+        rows = [(*key, v, low[v], high[v]) for key, (low, high) in kept.items() for v in range(len(low))]
+        yield pd.DataFrame(rows, columns=["model", "shard", "part", "pivot", "low", "high"])
+
+    fields = "model string, shard int, part int, pivot int, low double, high double"
+    bounds = placed.select("model", "shard", "part", "unit").mapInPandas(spans, fields)
+    bounds = bounds.groupBy("model", "shard", "part", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    table: dict[str, tuple[list[tuple[int, int]], np.ndarray, np.ndarray]] = {}
+    for model, rows in bounds.groupby("model"):
+        low, high = (rows.pivot(index=["shard", "part"], columns="pivot", values=c).sort_index() for c in ("low", "high"))
+        table[model] = ([(int(s), int(p)) for s, p in low.index], low.to_numpy(), high.to_numpy())
+    spread = spark.sparkContext.broadcast(table)
+    farthest = float(np.sqrt(max(0.0, 2.0 - 2.0 * min_cosine))) + 1e-9
+    more = k + 1  # the first is the vector itself
+
+    def at_home(rows: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.array(list(rows["unit"])), rows["rep"].to_numpy()
+        mine = rows["asked"].to_numpy()
+        if not mine.any():
+            return pd.DataFrame({"rep": [], "other": [], "distance": []})
+        found, d = ShardTree(ids, x).search(x[mine], more, np.full(int(mine.sum()), farthest), prune)
+        return _found(ids[mine], found, d)
+
+    home = cut(placed.groupBy("model", "shard", "part").applyInPandas(at_home, "rep long, other long, distance double"))
+    # With fewer than k + 1 found at home, the reach stays the bound of the search.
+    reach = home.groupBy("rep").agg(F.count("*").alias("n"), F.max("distance").alias("d")).select("rep", F.when(F.col("n") >= more, F.col("d")).otherwise(F.lit(farthest)).alias("reach"))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, rows in batch.groupby("model"):
+                parts, low, high = spread.value[model]
+                x = np.array(list(rows["unit"]))
+                far = lower_bounds(_distances(x, trees.value[model][0][:PIVOTS]), low, high)
+                go = far * prune <= rows["reach"].to_numpy()[:, None]
+                home_of = {key: i for i, key in enumerate(parts)}
+                go[np.arange(len(x)), [home_of[key] for key in zip(rows["shard"], rows["part"])]] = False
+                q, p = np.nonzero(go)
+                if not len(q):
+                    continue
+                to = np.array(parts)[p]
+                yield pd.DataFrame({"model": model, "shard": to[:, 0], "part": to[:, 1], "rep": rows["rep"].to_numpy()[q], "unit": list(x[q]), "reach": rows["reach"].to_numpy()[q]})
+
+    going = placed.where("asked").join(reach, "rep").select("model", "shard", "part", "rep", "unit", "reach")
+    going = going.mapInPandas(visits, "model string, shard int, part int, rep long, unit array<double>, reach double")
+    # Queries meet a shard in blocks; the shard is repeated for each block, so no task takes more than one block.
+    blocks = max(1, -(-max(counts.values()) // QUERY_BLOCK))
+    going = going.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    shards = placed.select("model", "shard", "part", "rep", "unit").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def abroad(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if asking.empty or rows.empty:
+            return pd.DataFrame({"rep": [], "other": [], "distance": []})
+        tree = ShardTree(rows["rep"].to_numpy(), np.array(list(rows["unit"])))
+        out = []
+        for at in range(0, len(asking), 4096):
+            some = asking.iloc[at : at + 4096]
+            found, d = tree.search(np.array(list(some["unit"])), more, some["reach"].to_numpy(), prune)
+            out.append(_found(some["rep"].to_numpy(), found, d))
+        return pd.concat(out)
+
+    key = ["model", "shard", "part", "block"]
+    away = going.groupBy(*key).cogroup(shards.groupBy(*key)).applyInPandas(abroad, "rep long, other long, distance double")
+    by_distance = Window.partitionBy("rep").orderBy("distance", "other")
+    near = home.unionByName(away).withColumn("at", F.row_number().over(by_distance)).where(F.col("at") <= more)
+
+    # Copies: a member sees the smallest ids behind each representative, itself left out.
+    members = vectors.join(reps, ["model", "embedding"]).select("rep", "vec_id", "copies")
+    first = members.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("at") <= more)
+    seen = near.select("rep", "other", "distance").join(first.select(F.col("rep").alias("other"), F.col("vec_id").alias("seen")), "other")
+    seen = seen.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("distance", "seen"))).where(F.col("at") <= more)
+    askers = members if queries is None else members.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
+    rows = askers.select("rep", "vec_id").join(seen.select("rep", "seen", "distance"), "rep").where(F.col("vec_id") != F.col("seen"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "seen"))).where(F.col("rank") <= k)
+    cosine = 1.0 - F.col("distance") * F.col("distance") / 2.0
+    return ranked.select("vec_id", F.col("seen").alias("other"), cosine.alias("cosine"), "rank").where(F.col("cosine") >= min_cosine - 1e-12)
+
+
+def similar_pairs(vectors: DataFrame, k: int = 10, min_cosine: float = 0.9, prune: float = 1.25) -> DataFrame:
+    """Pairs ``vec_a < vec_b`` of at least ``min_cosine`` of which one is among the other's ``k`` most similar."""
+    near = nearest(vectors, k, min_cosine, prune)
+    return near.select(F.least("vec_id", "other").alias("vec_a"), F.greatest("vec_id", "other").alias("vec_b")).distinct()
