@@ -78,8 +78,8 @@ _G2 = f"2.0 * ({_x('n_ab')} + {_x('n_a - n_ab')} + {_x('n_b - n_ab')} + {_x('n -
 
 _VECTORS = """
 with v as (select vec_id, model, embedding::double[] as e from doc_vectors
-           where model is not null and len(embedding) = 64 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-             and len(list_filter(embedding, x -> x <> 0)) > 0)
+           where model is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0)
 """
 
 ORACLES = {
