@@ -1,0 +1,18 @@
+"""Queries of the training-data problems."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.llm.pairs import defective_pairs
+from quillmesh.session import table
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Defective pairs with the kind of their defect."""
+    return defective_pairs(table(spark, root, "training_pairs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found,)}
+ORACLES: dict[str, str] = {}
