@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.mixing import mix_sources
+from quillmesh.llm.packing import pack_containers
 from quillmesh.llm.pairs import defective_pairs
+from quillmesh.llm.pii import find_pii, replace_pii
 from quillmesh.session import table
 
+#: The container that ``p6_containers`` fills, by its name in ``container_specs``.
+CONTAINER = "default"
+
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Defective pairs with the kind of their defect."""
     return defective_pairs(table(spark, root, "training_pairs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Every text in a container of the default specification."""
+    (spec,) = table(spark, root, "container_specs").where(F.col("spec_name") == CONTAINER).select("capacity_tokens").limit(1).collect()
+    return pack_containers(table(spark, root, "documents"), int(spec["capacity_tokens"]))
+
+
+def p7_selection(spark: SparkSession, root: str) -> DataFrame:
+    """The texts selected for each source, with the number of the use."""
+    return mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every item of personal data, once per document."""
+    return find_pii(table(spark, root, "documents"), table(spark, root, "name_lexicon")).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p8_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with typed placeholders, and with surrogates, in place of the items."""
+    return replace_pii(table(spark, root, "documents"), table(spark, root, "name_lexicon"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p6_containers, p7_selection, p7_shares, p8_found, p8_texts)}
+#: None of these can be stated in SQL over the tables; tests hold them against brute force and invariants.
 ORACLES: dict[str, str] = {}
