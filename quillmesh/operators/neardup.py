@@ -40,10 +40,8 @@ NEEDED = tuple((c - 1) * GROUPS + 1 for c in LEVELS)
 SKETCH = 1 << 18
 #: What verifying one candidate costs, in matches met.
 VERIFY = 500.0
-#: Texts of a piece of a band.
+#: Texts of a piece of a band (their numbers have 24 bits).
 PIECE = 40_000
-#: Matches expanded at a time inside a task.
-CHUNK = 2_000_000
 #: Copies of two texts are listed pair by pair up to so many pairs, beyond that through their representatives.
 EXPAND = 4096
 
@@ -121,51 +119,46 @@ def _matches(rows: pd.DataFrame, share: float) -> Iterator[pd.DataFrame]:
     index, probes = rows[~asks], rows[asks]
     if index.empty or probes.empty:
         return
+    # Stored texts are numbered by size, so that those a probe may match are one range of numbers.
+    dense = np.unique(rows["no"].to_numpy(), return_inverse=True)[1]
+    order_by = (rows["size"].to_numpy().astype(np.int64) << 32) | dense
+    index, stored = index.iloc[np.argsort(order_by[~asks])], np.sort(order_by[~asks])
+    no_of = index["no"].to_numpy()
     n_tokens = index["tokens"].map(len).to_numpy() // 4
-    tokens = np.frombuffer(b"".join(index["tokens"]), dtype=np.uint32)
+    words, token = np.unique(np.frombuffer(b"".join(index["tokens"]), dtype=np.uint32), return_inverse=True)
     owner = np.repeat(np.arange(len(index)), n_tokens)
-    # The least level whose prefix holds the token, for the smaller set's guarantee.
+    place = np.arange(len(token)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
     ends = np.array(list(index["ends"]), dtype=np.int64)
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
-    level = np.zeros(len(tokens), dtype=np.int64)
-    for c in range(len(LEVELS)):
-        level += place >= ends[owner, c]
-    kept = level < len(LEVELS)
-    tokens, owner, level = tokens[kept], owner[kept], level[kept]
-    code = (tokens.astype(np.uint64) << np.uint64(3)) | level.astype(np.uint64)
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    size_of, id_of = index["size"].to_numpy(), index["no"].to_numpy()
-    p_size, p_id, p_level = probes["size"].to_numpy(), probes["no"].to_numpy(), probes["level"].to_numpy()
-    p_tokens = [np.frombuffer(t, dtype=np.uint32)[:e] for t, e in zip(probes["tokens"], probes["end"])]
-    p_len = np.array([len(t) for t in p_tokens])
-    asked = np.concatenate(p_tokens).astype(np.uint64) << np.uint64(3)
-    p_owner = np.repeat(np.arange(len(probes)), p_len)
-    first = np.searchsorted(code, asked)
-    last = np.searchsorted(code, asked | p_level[p_owner].astype(np.uint64), side="right")
-    met = last - first
-    starts = np.r_[0, np.cumsum(p_len)]
-    load = np.r_[0, np.cumsum(met)][starts]
-    at = 0
-    while at < len(probes):
-        to = max(at + 1, int(np.searchsorted(load, load[at] + CHUNK, side="right")) - 1)
-        s, e = starts[at], starts[to]
-        n = met[s:e]
-        total = int(n.sum())
-        if total:
-            posting = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[s:e], n)
-            pair = np.repeat(p_owner[s:e] - at, n) * np.int64(len(index)) + owner[posting]
-            pair.sort()
-            cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            count = np.diff(np.r_[cuts, total])
-            pair = pair[cuts]
-            p, y = pair // len(index) + at, pair % len(index)
-            ok = count >= np.array(LEVELS)[p_level[p]]
-            ok &= (size_of[y] < p_size[p]) | ((size_of[y] == p_size[p]) & (id_of[y] < p_id[p]))
-            ok &= size_of[y] >= share * p_size[p]
-            if ok.any():
-                yield pd.DataFrame({"x": p_id[p[ok]], "y": id_of[y[ok]]})
-        at = to
+    p_size, p_level, p_no = probes["size"].to_numpy(), probes["level"].to_numpy(), probes["no"].to_numpy()
+    low_no = np.searchsorted(stored, np.ceil(share * p_size - 1e-9).astype(np.int64) << 32)
+    high_no = np.searchsorted(stored, order_by[asks])
+    asked = np.frombuffer(b"".join(probes["tokens"]), dtype=np.uint32)
+    at = np.searchsorted(words, asked)
+    at[at == len(words)] = 0
+    asked = np.where(words[at] == asked, at, len(words))
+    starts = np.r_[0, np.cumsum(probes["tokens"].map(len).to_numpy() // 4)]
+    for level in np.unique(p_level):
+        # Of the smaller set only the prefix of the probe's level counts.
+        inside = place < np.repeat(ends[:, level], n_tokens)
+        order = np.argsort(token[inside], kind="stable")
+        postings = owner[inside][order]
+        lists = np.r_[np.searchsorted(token[inside][order], np.arange(len(words) + 1)), len(postings)]
+        least = LEVELS[level]
+        found_p, found_y = [], []
+        for i in np.flatnonzero((p_level == level) & (low_no < high_no)):
+            mine = asked[starts[i] : starts[i + 1]]
+            first, last = lists[mine], lists[mine + 1]
+            some = last > first
+            if np.count_nonzero(some) < least:
+                continue
+            met = np.concatenate([postings[s:e] for s, e in zip(first[some].tolist(), last[some].tolist())])
+            low, high = low_no[i], high_no[i]
+            y = np.flatnonzero(np.bincount(met, minlength=high)[low:high] >= least)
+            if len(y):
+                found_p.append(np.full(len(y), p_no[i]))
+                found_y.append(no_of[y + low])
+        if found_p:
+            yield pd.DataFrame({"x": np.concatenate(found_p), "y": np.concatenate(found_y)})
 
 
 def candidate_pairs(texts: DataFrame, share: float) -> DataFrame:
@@ -235,7 +228,9 @@ def _verify(share: float, run: int):
                 if x != last:
                     last, held = x, run_hashes(a, run)
                 other = run_hashes(b, run)
-                common = len(np.intersect1d(held, other, assume_unique=True))
+                at = np.searchsorted(held, other)
+                at[at == len(held)] = 0
+                common = int(np.count_nonzero(held[at] == other))
                 keep.append(common / (len(held) + len(other) - common))
             similarity = np.array(keep)
             ok = similarity >= share - 1e-12
