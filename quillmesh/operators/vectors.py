@@ -66,12 +66,12 @@ def hash_embedding(docs: DataFrame, dim: int = EMBEDDING, text: str = "content",
 
 
 def cosine(left: str, right: str) -> Column:
-    """Cosine of two array columns of one length."""
+    """Cosine of two array columns of one length, null where one has none."""
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-    return dot(left, right) / F.sqrt(dot(left, left) * dot(right, right))
+    return F.try_divide(dot(left, right), F.sqrt(dot(left, left) * dot(right, right)))
 
 
 def embedding_search(vectors: DataFrame, query: list[float], limit: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -190,6 +190,7 @@ def nearest(vectors: DataFrame, k: int = 10, min_cosine: float = -1.0, prune: fl
     neighbours come out where there are fewer; an empty input gives no rows.
     """
     spark = vectors.sparkSession
+    vectors = vectors.select("vec_id", "model", "embedding")
     # Copies collapse through partial aggregates, so that a vector that makes up a third of the rows is no hot group.
     reps = cut(vectors.groupBy("model", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     counts = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).collect()}

@@ -275,8 +275,8 @@ def ingest_actions(t: Tables) -> DataFrame:
     return I.ingest_decisions(rows, _ledger(t), order="turn").select("name", "incoming_id", "content_hash", "doc_id", "action")
 
 
-@query(_q(SOURCES, DOCS) + """select path, case when was is null then 'A' when "is" is null then 'D' else 'M' end as change from
-      (select distinct last_doc_id as path, regexp_replace(content_hash, '^sha256:', '') as was from l) a full join (select id as path, sha256(content) as "is" from d) b using (path) where was is distinct from "is" """)
+@query(_q(SOURCES, DOCS) + """select path, case when a.o is null then 'A' when b.o is null then 'D' else 'M' end as change from
+      (select distinct last_doc_id as path, regexp_replace(content_hash, '^sha256:', '') as h, 1 as o from l) a full join (select id as path, sha256(content) as h, 1 as o from d) b using (path) where a.o is null or b.o is null or a.h is distinct from b.h""")
 def ingest_changes(t: Tables) -> DataFrame:
     """Documents added, modified and deleted since the ledger was written."""
     return I.snapshot_changes(_ledger(t).withColumnRenamed("last_doc_id", "path"), t.docs.select(F.col("id").alias("path"), F.sha2("content", 256).alias("content_hash")), path="path")
@@ -558,10 +558,10 @@ def list_concept(t: Tables) -> DataFrame:
     return W.concept_documents(t.docs, t.assigned, CONCEPT)
 
 
-@query(_q(DOCS) + "select id, rel_path from d where source_type = 'paper' and (contains(lower(title), 'shard') or contains(lower(source), 'shard') or contains(lower(id), 'shard'))")
+@query(_q(DOCS) + "select id, rel_path from d where source_type = 'paper' and (contains(lower(title), 'papers') or contains(lower(source), 'papers') or contains(lower(id), 'papers'))")
 def list_selected(t: Tables) -> DataFrame:
     """Documents of a type whose metadata mention a word."""
-    return W.select_documents(t.docs, "shard", "paper").select("id", "rel_path")
+    return W.select_documents(t.docs, "papers", "paper").select("id", "rel_path")
 
 
 # --- training records and streams -----------------------------------------
@@ -591,6 +591,7 @@ def records_instruction(t: Tables) -> DataFrame:
 def stream_event_windows(t: Tables) -> DataFrame:
     """Events per hour and type, counted by a stream that reads the table to its end."""
     schema = t.raw("events").schema
-    rows = t.spark.readStream.schema(schema).parquet(f"{t.root}/events.parquet")
+    # Written as a pattern, the path may be a file as well as a folder.
+    rows = t.spark.readStream.schema(schema).parquet(f"{t.root}/[e]vents.parquet")
     shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.checkpoint.dir", None)
     return run_to_table(windowed_counts(rows), f"{shared or tempfile.mkdtemp(prefix='quillmesh-')}/streams")
