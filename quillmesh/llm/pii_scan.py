@@ -47,7 +47,7 @@ _ID_LABELS = (
     "個人番号", "マイナンバー", "旅券番号", "パスポート番号", "免許証番号", "保険証番号", "基礎年金番号",
 )
 _ID_JOIN = re.compile(
-    r"[\w'’-]{0,16}(?:[ 　]?(?:no|nr|number|numbers|num|nummer|numéro|id|card)\b\.?)?[ 　]?(?:is|was|ist|lautet|est|:|：|は|\()?[ 　]?(?:le|la|:|：)?[ 　]?[(:：]?[ 　]?", re.I
+    r"[^\W\d_は]{0,16}(?:[ 　]?(?:no|nr|number|numbers|num|nummer|numéro|id|card)\b\.?)?[ 　]?(?:is|was|ist|lautet|est|:|：|は|\()?[ 　]?(?:le|la|:|：)?[ 　]?[(:：]?[ 　]?", re.I
 )
 _D = "[0-9０-９]"
 _ID_VALUE = re.compile(
