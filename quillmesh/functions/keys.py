@@ -62,6 +62,27 @@ def shard_path(doc_id: Column) -> Column:
     return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), F.concat(doc_id, F.lit(".md")))
 
 
+# Digits of base 32 as Spark writes them, and as identifiers use them (no I, L, O and U).
+_BASE32, _CROCKFORD = "0123456789abcdefghijklmnopqrstuv", "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def _base32(number: Column, base: int, width: int) -> Column:
+    return F.lpad(F.translate(F.lower(F.conv(number, base, 32)), _BASE32, _CROCKFORD), width, "0")
+
+
+def ulid(created_at: Column, seed: Column) -> Column:
+    """An id of 26 characters that sorts by time: milliseconds, then 80 bits of the hash of ``seed``, so that a rerun gives the same."""
+    digest = F.sha2(seed, 256)
+    millis = F.unix_millis(created_at.cast("timestamp")).cast("string")
+    return F.concat(_base32(millis, 10, 10), _base32(F.substring(digest, 1, 10), 16, 8), _base32(F.substring(digest, 11, 10), 16, 8))
+
+
+def slug(name: Column) -> Column:
+    """Lower-case letters and digits with single hyphens; ``all`` where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("all"))
+
+
 def arxiv_id(text: Column) -> Column:
     found = F.coalesce(F.nullif(F.regexp_extract(text, ARXIV_NEW, 1), F.lit("")), F.nullif(F.regexp_extract(text, ARXIV_OLD, 1), F.lit("")))
     return found

@@ -48,6 +48,19 @@ def duplicate_source_keys(sources: DataFrame) -> DataFrame:
     return sources.where("source_key is not null").groupBy("source_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def doctor(docs: DataFrame, sources: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``id, problem`` of documents without a title, content or path, of ledger keys held twice, and of documents (``indexed``: id) the index lacks or has in excess."""
+    checks = [("title", "no title"), ("content", "no content"), ("rel_path", "no path")]
+    problems = [docs.where(F.coalesce(F.trim(c), F.lit("")) == "").select("id", F.lit(text).alias("problem")) for c, text in checks]
+    problems.append(duplicate_source_keys(sources).select(F.col("source_key").alias("id"), F.lit("source key twice").alias("problem")))
+    problems.append(docs.select("id").join(indexed, "id", "left_anti").select("id", F.lit("not indexed").alias("problem")))
+    problems.append(indexed.select("id").join(docs, "id", "left_anti").select("id", F.lit("no document").alias("problem")))
+    out = problems[0]
+    for more in problems[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def missing_notes(frequency: DataFrame, noted: DataFrame, min_df: int = 2) -> DataFrame:
     return frequency.where(F.col("df") >= min_df).join(noted, "concept_id", "left_anti").select("concept_id", "df")
 

@@ -399,9 +399,10 @@ def graph_notes(t: Tables) -> DataFrame:
 
 @query(_q(MEMBERS) + "select concept_id, count(*) as df from m group by 1")
 def graph_incremental(t: Tables) -> DataFrame:
-    """Frequencies after the documents of one half of the hash range were taken out and in again."""
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    again = G.replace_documents(t.assigned, t.assigned.where(half), t.assigned.where(half).select("doc_id"))
+    """Frequencies after documents whose content isn't what their stored hash says were taken out and in again."""
+    changed = t.docs.where(~K.bare_hash(F.col("content_hash")).eqNullSafe(K.content_hash(F.col("content")))).select(F.col("id").alias("doc_id"))
+    fresh = t.assigned.join(changed, "doc_id", "left_semi")
+    again = G.replace_documents(t.assigned, fresh, changed)
     return again.groupBy("concept_id").agg(F.count("*").alias("df"))
 
 
@@ -495,6 +496,22 @@ def health_duplicate_keys(t: Tables) -> DataFrame:
     return H.duplicate_source_keys(t.raw("sources"))
 
 
+@query(
+    _q(DOCS, STATS)
+    + """select id, 'no title' as problem from d where title = '' union select id, 'no content' from d where trim(content) = '' union select id, 'no path' from d where trim(coalesce(rel_path, '')) = ''
+     union select source_key, 'source key twice' from sources where source_key is not null group by 1 having count(*) > 1 union select id, 'not indexed' from d where id not in (select doc_id from s) union select doc_id, 'no document' from s where doc_id not in (select id from d)"""
+)
+def health_doctor(t: Tables) -> DataFrame:
+    """What is wrong with documents, ledger and index."""
+    return H.doctor(t.docs, t.raw("sources"), t.stats.select(F.col("doc_id").alias("id")))
+
+
+@query(_q(DOCS, FREQUENCY) + "select concept_id, df from f where df >= 2 and concept_id not in (select lower(trim(concept_id)) from concepts where kind = 'entity')")
+def health_missing_notes(t: Tables) -> DataFrame:
+    """Concepts in two documents or more that have no note (entities count as noted)."""
+    return H.missing_notes(t.frequency, t.concepts.where("kind = 'entity'").select(F.lower(F.trim("concept_id")).alias("concept_id")))
+
+
 @query(_q(DOCS, HUB, FREQUENCY) + "select concept_id, df from f cross join h where df > hub order by df desc, concept_id limit 10")
 def health_hubs(t: Tables) -> DataFrame:
     """The most frequent hubs."""

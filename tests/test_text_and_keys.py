@@ -46,6 +46,14 @@ def test_identifiers(spark):
     assert column(spark, ["abc"], K.shard_path) == ["ba/78/abc.md"]
 
 
+def test_ulids_sort_by_time_and_repeat(spark):
+    rows = spark.sql("select timestamp'2024-01-01 00:00:00' as t, 'a' as s union all select timestamp'2024-01-01 00:00:01', 'a' union all select timestamp'2024-01-01 00:00:00', 'b'")
+    made = [r[0] for r in rows.select(K.ulid(F.col("t"), F.col("s"))).collect()]
+    assert made[0][:10] == made[2][:10] == "01HK153X00" and made[0] < made[1] and made[0] != made[2] and all(len(m) == 26 for m in made)
+    assert made == [r[0] for r in rows.select(K.ulid(F.col("t"), F.col("s"))).collect()]
+    assert column(spark, ["My Tag! x", "日本", ""], K.slug) == ["my-tag-x", "all", "all"]
+
+
 def test_yaml_scalars(spark):
     values = ["plain", "a: b", "end:", "- x", "", "https://x.y", 'say "hi": now', "trailing ", None]
     assert column(spark, values, T.yaml_scalar) == ["plain", '"a: b"', '"end:"', '"- x"', '""', "https://x.y", '"say \\"hi\\": now"', '"trailing "', "null"]
