@@ -10,9 +10,11 @@ candidates that could survive them.
 Counting shared runs would move every match through a shuffle.  Instead runs
 are dealt to ``GROUPS`` groups by hash: of l shared runs, some group holds at
 least l / GROUPS, so each group counts its own matches inside one task and only
-pairs that reach their share anywhere leave it.  A group is cut further by
-size bands (a set never matches one much smaller) and, where a band is large,
-into pieces of bounded size.  Nothing is capped and every candidate is verified
+pairs that reach their share there leave it.  What the groups tell of a pair is
+then summed; a pair stays when the sum, and the most that silent groups may
+hold, reach the l that its two sizes demand.  A group is cut further by size
+bands (a set never matches one much smaller) and, where a band is large, into
+pieces of bounded size.  Nothing is capped and every candidate is verified
 against whole texts.
 """
 
@@ -33,9 +35,11 @@ from quillmesh.session import cut
 RUN = 5
 #: Groups that runs are dealt to.
 GROUPS = 4
-#: Choices of the runs some group has to share; c of them in one group mean (c - 1) * GROUPS + 1 in all.
-LEVELS = (1, 2, 4, 8, 12)
-NEEDED = tuple((c - 1) * GROUPS + 1 for c in LEVELS)
+#: Choices of the runs c from which a group tells of a pair, and of those that all groups together share beyond
+#: what silent groups may hold: l = (c - 1) * GROUPS + 1 + slack.
+LEVELS = (1, 2, 4, 8, 12, 16)
+SLACK = (0, 2, 4, 10, 16, 24)
+NEEDED = tuple((c - 1) * GROUPS + 1 + s for c, s in zip(LEVELS, SLACK))
 #: Counters of the frequency sketch that orders the runs (a fixed size; a collision only worsens the order).
 SKETCH = 1 << 18
 #: What verifying one candidate costs, in matches met.
@@ -129,7 +133,9 @@ def _matches(rows: pd.DataFrame, share: float) -> Iterator[pd.DataFrame]:
     owner = np.repeat(np.arange(len(index)), n_tokens)
     place = np.arange(len(token)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
     ends = np.array(list(index["ends"]), dtype=np.int64)
-    p_size, p_level, p_no = probes["size"].to_numpy(), probes["level"].to_numpy(), probes["no"].to_numpy()
+    p_size, p_level, p_no, p_rest = (probes[c].to_numpy() for c in ("size", "level", "no", "rest"))
+    size = index["size"].to_numpy()
+    half = share / (1.0 + share)
     low_no = np.searchsorted(stored, np.ceil(share * p_size - 1e-9).astype(np.int64) << 32)
     high_no = np.searchsorted(stored, order_by[asks])
     asked = np.frombuffer(b"".join(probes["tokens"]), dtype=np.uint32)
@@ -144,7 +150,9 @@ def _matches(rows: pd.DataFrame, share: float) -> Iterator[pd.DataFrame]:
         postings = owner[inside][order]
         lists = np.r_[np.searchsorted(token[inside][order], np.arange(len(words) + 1)), len(postings)]
         least = LEVELS[level]
-        found_p, found_y = [], []
+        # Runs of a stored set that its prefix leaves out.
+        rest = np.maximum(0, np.ceil(2 * half * size - 1e-9).astype(np.int64) - NEEDED[level])
+        found = []
         for i in np.flatnonzero((p_level == level) & (low_no < high_no)):
             mine = asked[starts[i] : starts[i + 1]]
             first, last = lists[mine], lists[mine + 1]
@@ -153,12 +161,15 @@ def _matches(rows: pd.DataFrame, share: float) -> Iterator[pd.DataFrame]:
                 continue
             met = np.concatenate([postings[s:e] for s, e in zip(first[some].tolist(), last[some].tolist())])
             low, high = low_no[i], high_no[i]
-            y = np.flatnonzero(np.bincount(met, minlength=high)[low:high] >= least)
+            count = np.bincount(met, minlength=high)
+            y = low + np.flatnonzero(count[low:high] >= least)
             if len(y):
-                found_p.append(np.full(len(y), p_no[i]))
-                found_y.append(no_of[y + low])
-        if found_p:
-            yield pd.DataFrame({"x": np.concatenate(found_p), "y": np.concatenate(found_y)})
+                # Of the common runs at most the larger rest lies outside of the prefixes.
+                want = np.ceil(half * (p_size[i] + size[y]) - 1e-9).astype(np.int64) - np.maximum(p_rest[i], rest[y]) - GROUPS * (least - 1)
+                found.append((np.full(len(y), p_no[i]), no_of[y], count[y] - (least - 1), want))
+        if found:
+            x, y, extra, want = map(np.concatenate, zip(*found))
+            yield pd.DataFrame({"x": x, "y": y, "extra": extra, "want": want})
 
 
 def candidate_pairs(texts: DataFrame, share: float) -> DataFrame:
@@ -195,28 +206,32 @@ def candidate_pairs(texts: DataFrame, share: float) -> DataFrame:
                     own_end, low_end = np.searchsorted(spots, [own_spare + NEEDED[level], low_spare + NEEDED[level]])
                     tokens = h[spots[: max(ends[-1], low_end)]].astype(np.uint32)
                     if len(tokens):
-                        out.append((no, n, band, g, level, int(own_end), int(low_end), ends.tolist(), tokens.tobytes()))
+                        own_rest, low_rest = (n - spare - NEEDED[level] for spare in (own_spare, low_spare))
+                        out.append((no, n, band, g, level, int(own_end), int(low_end), own_rest, low_rest, ends.tolist(), tokens.tobytes()))
             for s in range(0, len(out), 16_384):
-                yield pd.DataFrame(out[s : s + 16_384], columns=["no", "size", "band", "grp", "level", "own_end", "low_end", "ends", "tokens"])
+                yield pd.DataFrame(out[s : s + 16_384], columns=["no", "size", "band", "grp", "level", "own_end", "low_end", "own_rest", "low_rest", "ends", "tokens"])
 
-    cells = cut(texts.select("no", "reduced").mapInPandas(prefixes, "no long, size int, band int, grp int, level int, own_end int, low_end int, ends array<int>, tokens binary"))
+    cells = cut(texts.select("no", "reduced").mapInPandas(prefixes, "no long, size int, band int, grp int, level int, own_end int, low_end int, own_rest int, low_rest int, ends array<int>, tokens binary"))
     # A large band is cut into pieces, and so are the probes that ask it: a probe asks every piece of a band, in its turn.
     pieces = cells.groupBy("band", "grp").agg(F.count("*").alias("n")).groupBy("band").agg(F.ceil(F.max("n") / PIECE).cast("int").alias("pieces"))
     above = pieces.select((F.col("band") - 1).alias("band"), F.col("pieces").alias("above"))
     plan = F.broadcast(pieces.join(above, "band", "left").withColumn("turns", F.greatest("pieces", F.coalesce("above", F.lit(1)))).drop("above"))
-    columns = ["grp", "band", "piece", "turn", "no", "size", "level", "end", "ends", "tokens"]
+    columns = ["grp", "band", "piece", "turn", "no", "size", "level", "end", "rest", "ends", "tokens"]
     stored = cells.join(plan, "band").withColumn("piece", F.pmod(F.xxhash64("no"), "pieces").cast("int"))
-    stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("end", F.lit(0)).select(*columns)
-    probes = cells.withColumn("to", F.explode(F.array(F.struct(F.col("band").alias("band"), F.col("own_end").alias("end")), F.struct((F.col("band") - 1).alias("band"), F.col("low_end").alias("end")))))
-    probes = probes.select(F.col("to.band").alias("band"), "grp", "no", "size", "level", F.col("to.end").alias("end"), F.array().cast("array<int>").alias("ends"), F.expr("substring(tokens, 1, 4 * to.end)").alias("tokens"))
+    stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("end", F.lit(0)).withColumn("rest", F.lit(0)).select(*columns)
+    own = F.struct(F.col("band").alias("band"), F.col("own_end").alias("end"), F.col("own_rest").alias("rest"))
+    below = F.struct((F.col("band") - 1).alias("band"), F.col("low_end").alias("end"), F.col("low_rest").alias("rest"))
+    probes = cells.withColumn("to", F.explode(F.array(own, below)))
+    probes = probes.select(F.col("to.band").alias("band"), "grp", "no", "size", "level", F.col("to.end").alias("end"), F.col("to.rest").alias("rest"), F.array().cast("array<int>").alias("ends"), F.expr("substring(tokens, 1, 4 * to.end)").alias("tokens"))
     probes = probes.where("end > 0").join(plan, "band").withColumn("turn", F.pmod(F.xxhash64("no"), "turns").cast("int"))
     probes = probes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(*columns)
 
     def cell(rows: pd.DataFrame) -> pd.DataFrame:
         found = list(_matches(rows, share))
-        return pd.concat(found) if found else pd.DataFrame({"x": [], "y": []})
+        return pd.concat(found) if found else pd.DataFrame({"x": [], "y": [], "extra": [], "want": []})
 
-    return stored.unionByName(probes).groupBy("grp", "band", "piece", "turn").applyInPandas(cell, "x long, y long").distinct()
+    told = stored.unionByName(probes).groupBy("grp", "band", "piece", "turn").applyInPandas(cell, "x long, y long, extra int, want int")
+    return told.groupBy("x", "y").agg(F.sum("extra").alias("extra"), F.max("want").alias("want")).where("extra >= want").select("x", "y")
 
 
 def _verify(share: float, run: int):
