@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import ACCENTED, PLAIN, search_tokens
+from quillmesh.session import cut
 
 COLUMNS = ("title", "source", "content")
 K1, B = 1.2, 0.75
@@ -130,24 +132,48 @@ def matching(rows: DataFrame, query: Query) -> DataFrame:
     return out.distinct() if len(query.alternatives) > 1 else out
 
 
-def bm25(rows: DataFrame, ids: DataFrame, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
+def wanted_postings(docs: DataFrame, words: list[str], prefixes: list[str]) -> DataFrame:
+    """``id, length, col, pos, term`` of the tokens a query can need; the others are dropped before rows are made of them."""
+    tokens = {c: search_tokens(F.coalesce(F.col(c), F.lit(""))) for c in COLUMNS}
+    split = docs.select("id", *(t.alias(c) for c, t in tokens.items()))
+
+    def placed(column: str):
+        return F.transform(column, lambda x, i: F.struct(F.lit(column).alias("col"), i.alias("pos"), x.alias("term")))
+
+    entries = F.concat(*map(placed, COLUMNS))
+
+    def needed(e):
+        condition = e.term.isin(*words) if words else F.lit(False)
+        for p in prefixes:
+            condition = condition | e.term.startswith(p)
+        return condition
+
+    length = F.size("title") + F.size("source") + F.size("content")
+    return split.select("id", length.alias("length"), F.explode(F.filter(entries, needed)).alias("e")).select("id", "length", "e.col", "e.pos", "e.term")
+
+
+def collection_size(docs: DataFrame) -> DataFrame:
+    """One row ``n, average``: documents, and tokens of a document with any."""
+    length = reduce(lambda a, b: a + b, (F.size(search_tokens(F.coalesce(F.col(c), F.lit("")))) for c in COLUMNS))
+    return docs.select(length.alias("length")).where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+
+
+def bm25(rows: DataFrame, collection: DataFrame, ids: DataFrame, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
     """``id, score`` of the documents ``ids`` for words and prefixes; better ones have lower scores.
 
     A prefix counts as one term with the tokens that begin with it.  The words
     of a phrase count one by one.
     """
-    lengths = rows.groupBy("id").agg(F.count("*").alias("length"))
-    collection = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    asked = rows.where(F.col("term").isin(*terms)).select("id", "term") if terms else None
+    asked = rows.where(F.col("term").isin(*terms)).select("id", "length", "term") if terms else None
     for p in prefixes:
-        more = rows.where(F.col("term").startswith(p)).select("id", F.lit(p + "*").alias("term"))
+        more = rows.where(F.col("term").startswith(p)).select("id", "length", F.lit(p + "*").alias("term"))
         asked = more if asked is None else asked.unionByName(more)
-    hits = asked.groupBy("id", "term").agg(F.count("*").alias("f"))
+    hits = asked.groupBy("id", "length", "term").agg(F.count("*").alias("f"))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     # As many rows as the query has terms.
-    scored = hits.join(ids, "id", "left_semi").join(F.broadcast(frequency), "term").crossJoin(F.broadcast(collection)).join(lengths, "id")
+    scored = hits.join(ids, "id", "left_semi").join(F.broadcast(frequency), "term").crossJoin(F.broadcast(collection))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return scored.groupBy("id").agg((-F.sum(part)).alias("score"))
 
@@ -155,10 +181,14 @@ def bm25(rows: DataFrame, ids: DataFrame, terms: list[str], prefixes: list[str]
 def search(docs: DataFrame, text: str, limit: int | None = 20) -> DataFrame:
     """The best matches ``id, title, source, score``; equal scores in order of id.  ``limit=None`` gives all."""
     query = read_query(text)
-    rows = postings(docs)
     terms = sorted({w for m in query.wanted() for w in (m.words[:-1] if m.prefix else m.words)})
     prefixes = sorted({m.words[-1] for m in query.wanted() if m.prefix})
-    scored = bm25(rows, matching(rows, query), terms, prefixes)
+    unwanted = [m for _, without in query.alternatives for m in without]
+    every = sorted({w for m in [*query.wanted(), *unwanted] for w in (m.words[:-1] if m.prefix else m.words)})
+    starts = sorted({m.words[-1] for m in [*query.wanted(), *unwanted] if m.prefix})
+    # The texts are read once for the tokens that matter, which all conditions then share.
+    rows = cut(wanted_postings(docs, every, starts))
+    scored = bm25(rows, collection_size(docs), matching(rows, query), terms, prefixes)
     found = scored.join(docs.select("id", "title", "source"), "id").select("id", "title", "source", F.round("score", 6).alias("score"))
     ordered = found.orderBy("score", "id")
     return ordered.limit(limit) if limit is not None else ordered
