@@ -1,124 +1,158 @@
 """Filling fixed-capacity containers with texts by lexical retrieval.
 
-Texts are dealt to shards of bounded size.  A shard is an inverted index with
-BM25 weights (document frequencies and the average length come from the whole
-collection).  The largest text left becomes a seed; the index returns the
-texts most like it that are still unused, and they fill its container in that
-order as long as they fit.  What remains open is closed with the largest texts
-that still fit, so that little room is lost.
+The largest text left becomes a seed; BM25 over all unused texts of the
+collection returns those most like it, and they fill its container in that
+order as long as they fit.  What remains open when no text that shares a term
+fits is closed with the largest texts that still fit, so that little room is
+lost.
+
+Seeds ask in rounds: a bounded batch of them goes to every task, each task
+scores all of its texts for all of them, and the best of all tasks are taken
+in the order of the seeds.  A seed whose list was too short asks again in the
+next round.  The last texts, no more than a task holds, are packed one seed
+after another over one index.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.tokens import DEFAULT_FOLDER, encoding
 from quillmesh.session import cut
 
-#: Texts a shard aims at, hash buckets of the term statistics, and terms of a seed's query.
+#: Texts that one index packs at the end, rows that a round's lists hold in all, and the most seeds of a round.
 SHARD_TEXTS = 3000
-BUCKETS = 1 << 16
-QUERY_TERMS = 16
+LIST_ROWS = 1 << 19
+ROUND_SEEDS = 1 << 12
+#: Texts and seeds that are scored at once.
+BLOCK_TEXTS, BLOCK_SEEDS = 4096, 1024
 K1, B = 1.2, 0.75
+#: Codes of terms lie below this.
+BUCKETS = 1 << 63
 
 _TERM = re.compile(r"[^\W\d_]{3,}|[぀-ヿ㐀-鿿]{2}")
-_MULTIPLIER = 0x9E3779B1
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's terms and how often each occurs."""
+    """Codes of the text's terms in rising order and how often each occurs."""
     words: dict[str, int] = {}
     for word in _TERM.findall(text.lower()):
         words[word] = words.get(word, 0) + 1
-    if not words:
-        return np.empty(0, np.uint16), np.empty(0, np.uint16)
-    # Python's own string hash is salted per process; this one is the same everywhere.
     codes = np.fromiter((hash_word(w) for w in words), dtype=np.int64, count=len(words))
-    counts = np.fromiter(words.values(), dtype=np.int64, count=len(words))
-    buckets, where = np.unique(codes, return_inverse=True)
-    return buckets.astype(np.uint16), np.minimum(np.bincount(where, weights=counts), 65535).astype(np.uint16)
+    order = np.argsort(codes)
+    return codes[order], np.fromiter(words.values(), dtype=np.int32, count=len(words))[order]
 
 
 _WORD_CODES: dict[str, int] = {}
 
 
 def hash_word(word: str) -> int:
-    """A bucket that is the same in every process; the words of a worker are remembered up to a bound."""
+    """A code that is the same in every process; the words of a worker are remembered up to a bound."""
     code = _WORD_CODES.get(word)
     if code is None:
-        code = int.from_bytes(word.encode("utf-8", "surrogatepass")[:32], "little")
-        code = ((code ^ (code >> 61) ^ len(word)) * _MULTIPLIER % (1 << 61)) >> 29 & (BUCKETS - 1)
+        # Python's own string hash is salted per process.
+        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
         if len(_WORD_CODES) < 500_000:
             _WORD_CODES[word] = code
     return code
 
 
-class Shard:
-    """The inverted index of a shard: texts by size, their terms, and postings with BM25 weights."""
+class Index:
+    """Texts by number with the BM25 weights of their terms."""
 
-    def __init__(self, sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, average: float) -> None:
-        length = np.array([int(c.sum()) for c in counts], dtype=np.float64)
-        owner = np.repeat(np.arange(len(sizes)), [len(t) for t in terms])
-        term = np.concatenate(terms).astype(np.int64) if len(owner) else np.empty(0, np.int64)
-        tf = np.concatenate(counts).astype(np.float64) if len(owner) else np.empty(0)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / max(average, 1.0)))
-        self.idf, self.terms = idf, terms
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        self.n = len(terms)
+        owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        term = np.concatenate(terms) if self.n else np.empty(0, np.int64)
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = len(sizes)
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused texts that share one of the seed's rarest terms, best first."""
-        terms = self.terms[seed].astype(np.int64)
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
-        if not len(terms):
-            return np.empty(0, dtype=np.int64)
-        met = np.concatenate([self.owner[self.starts[t] : self.starts[t + 1]] for t in terms])
-        score = np.bincount(met, weights=np.concatenate([self.weight[self.starts[t] : self.starts[t + 1]] for t in terms]), minlength=self.n)
-        score[~unused] = 0.0
-        hits = np.flatnonzero(score)
-        return hits[np.argsort(-score[hits], kind="stable")]
-
-
-def fill(sizes: np.ndarray, shard: Shard, capacity: int) -> np.ndarray:
+        self.owner = owner[order]
+        self.weight = (np.concatenate(weights) if self.n else np.empty(0)).astype(np.float32)[order]
+        self.codes, starts = np.unique(term[order], return_index=True)
+        self.starts = np.append(starts, len(term))
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """The score of every text for every query, each of distinct terms."""
+        out = np.zeros((len(queries), self.n), dtype=np.float32)
+        if not len(self.codes):
+            return out
+        asker = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        asked = np.concatenate(queries) if len(queries) else np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
+        met = self.codes[at] == asked
+        asker, at = asker[met], at[met]
+        held = np.diff(self.starts)
+        # Frequent terms by one product of matrices, the others posting by posting.
+        often = np.flatnonzero((held * 32 > self.n) & (np.bincount(at, minlength=len(held)) * 32 > len(queries)))
+        place = np.full(len(held), -1)
+        place[often] = np.arange(len(often))
+        if len(often):
+            left = np.zeros((len(queries), len(often)), dtype=np.float32)
+            dense = place[at] >= 0
+            left[asker[dense], place[at[dense]]] = 1
+            right = np.zeros((len(often), self.n), dtype=np.float32)
+            of = np.repeat(place, held)
+            right[of[of >= 0], self.owner[of >= 0]] = self.weight[of >= 0]
+            out += left @ right
+            asker, at = asker[~dense], at[~dense]
+        size = held[at]
+        ends = np.cumsum(size)
+        for low in range(0, len(at), 1 << 14):
+            high = min(low + (1 << 14), len(at))
+            n = size[low:high]
+            posting = np.arange(n.sum()) - np.repeat(ends[low:high] - n - (ends[low - 1] if low else 0), n) + np.repeat(self.starts[at[low:high]], n)
+            first, last = asker[low], asker[high - 1] + 1
+            cell = np.repeat(asker[low:high] - first, n) * self.n + self.owner[posting]
+            out[first:last] += np.bincount(cell, weights=self.weight[posting], minlength=(last - first) * self.n).reshape(last - first, self.n)
+        return out
+
+
+def close(room: int, rising: list[tuple[int, int]]) -> list[int]:
+    """Texts taken from ``rising`` (size, number), the largest that fits each time."""
+    taken = []
+    while rising and room >= rising[0][0]:
+        size, i = rising.pop(bisect.bisect_right(rising, (room, 1 << 63)) - 1)
+        taken.append(i)
+        room -= size
+    return taken
+
+
+def fill(sizes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], capacity: int) -> np.ndarray:
     """The container of each text, from sizes in falling order; no size exceeds the capacity."""
+    index = Index(terms, weights)
     container = np.full(len(sizes), -1, dtype=np.int64)
-    unused = np.ones(len(sizes), dtype=bool)
     # Sizes of the unused texts in rising order, with their numbers, for closing what stays open.
     rising = [(int(s), i) for i, s in sorted(enumerate(sizes), key=lambda x: (x[1], x[0]))]
 
     def use(i: int, number: int) -> None:
         container[i] = number
-        unused[i] = False
         del rising[bisect.bisect_left(rising, (int(sizes[i]), i))]
 
     number = 0
     for seed in range(len(sizes)):
-        if not unused[seed]:
+        if container[seed] >= 0:
             continue
         use(seed, number)
         room = capacity - int(sizes[seed])
         if rising and room >= rising[0][0]:
-            for i in shard.neighbours(seed, unused):
+            score = index.scores([terms[seed]])[0]
+            score[(container >= 0) | (sizes > room)] = 0
+            hits = np.flatnonzero(score)
+            for i in hits[np.argsort(-score[hits], kind="stable")]:
                 if sizes[i] <= room:
                     use(i, number)
                     room -= int(sizes[i])
                     if not rising or room < rising[0][0]:
                         break
-        while rising and room >= rising[0][0]:
-            size, i = rising[bisect.bisect_right(rising, (room, len(sizes))) - 1]
-            use(i, number)
-            room -= size
+        container[close(room, rising)] = number
         number += 1
     return container
 
@@ -131,21 +165,64 @@ def _measure(folder: str):
                 size = len(encoding(folder).encode_ordinary(text)) if text and not text.isspace() else 0
                 if size:
                     terms, counts = term_counts(text)
-                    rows.append((doc_id, size, terms.tobytes(), counts.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "tokens", "terms", "counts"])
+                    rows.append((doc_id, size, int(counts.sum()), terms, counts))
+            yield pd.DataFrame(rows, columns=["doc_id", "tokens", "words", "terms", "counts"])
 
     return measure
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BUCKETS + 2, dtype=np.int64)
-    for batch in batches:
-        terms = np.frombuffer(b"".join(batch["terms"]), dtype=np.uint16)
-        total[:BUCKETS] += np.bincount(terms, minlength=BUCKETS)
-        total[BUCKETS] += len(batch)
-        total[BUCKETS + 1] += int(np.frombuffer(b"".join(batch["counts"]), dtype=np.uint16).sum(dtype=np.int64))
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"at": at, "n": total[at]})
+def _hits(shared, most: int):
+    """The best texts of a task for every seed: of all that fit, and of those that take an eighth of the room or less."""
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(map(len, kept)) >= BLOCK_TEXTS:
+                yield pd.concat(kept)
+                kept = []
+        if kept:
+            yield pd.concat(kept)
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds, rooms, queries = shared.value
+        best = {part: (np.zeros((len(seeds), 0), np.float32), np.zeros((len(seeds), 0), np.int64), np.zeros((len(seeds), 0), np.int32)) for part in (1, 8)}
+        for block in blocks(batches):
+            ids, sizes = block["doc_id"].to_numpy(), block["tokens"].to_numpy().astype(np.int32)
+            index = Index(list(block["terms"]), list(block["weights"]))
+            found: dict[int, list] = {1: [], 8: []}
+            for low in range(0, len(seeds), BLOCK_SEEDS):
+                some = slice(low, low + BLOCK_SEEDS)
+                score = index.scores(queries[some])
+                score[ids[None, :] == seeds[some, None]] = 0
+                for part in found:
+                    score[sizes[None, :] * part > rooms[some, None]] = 0
+                    at = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
+                    found[part].append((np.take_along_axis(score, at, 1), ids[at], sizes[at]))
+            for part, lists in found.items():
+                whole = [np.concatenate([old, np.concatenate(new)], axis=1) for old, new in zip(best[part], zip(*lists))]
+                at = np.argsort(-whole[0], axis=1, kind="stable")[:, :most]
+                best[part] = tuple(np.take_along_axis(x, at, 1) for x in whole)
+        for part, (score, ids, sizes) in best.items():
+            seed, at = np.nonzero(score)
+            for low in range(0, len(seed), 1 << 16):
+                s, a = seed[low : low + (1 << 16)], at[low : low + (1 << 16)]
+                yield pd.DataFrame({"part": part, "seed": s, "score": score[s, a], "doc_id": ids[s, a], "size": sizes[s, a]})
+
+    return hits
+
+
+def _weighted(measured: DataFrame, capacity: int) -> DataFrame:
+    """``doc_id, tokens, terms, weights``: the rest to be packed, and the BM25 weights of the terms that other texts have too."""
+    whole = measured.agg(F.count("*").alias("n"), F.avg("words").alias("average")).first()
+    items = measured.withColumn("tokens", F.col("tokens") % capacity).where("tokens > 0")
+    postings = measured.select("doc_id", "words", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("doc_id", "words", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
+    idf = F.log1p((F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(max(whole["average"] or 0.0, 1.0))))
+    held = postings.join(frequency, "term").select("doc_id", F.struct("term", weight.cast("float").alias("weight")).alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    nothing = (F.array().cast("array<long>"), F.array().cast("array<float>"))
+    return items.select("doc_id", "tokens").join(held, "doc_id", "left").select("doc_id", "tokens", F.coalesce("p.term", nothing[0]).alias("terms"), F.coalesce("p.weight", nothing[1]).alias("weights"))
 
 
 def pack_containers(documents: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
@@ -155,37 +232,78 @@ def pack_containers(documents: DataFrame, capacity: int, doc_id: str = "doc_id",
     containers of their own, and a rest, which is packed like a text; every
     other text stays whole.  Null and blank texts have no tokens and no
     container; rows without an id are left out; equal texts under several ids
-    are packed each.  Containers are named ``shard-number``.
+    are packed each.  Containers are named ``round-number``.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    measured = cut(rows.mapInPandas(_measure(tokenizers), "doc_id long, tokens int, terms binary, counts binary"))
-    # The statistics are a table of fixed size, whatever the collection holds.
-    stats = measured.select("terms", "counts").mapInPandas(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(BUCKETS + 2, dtype=np.int64)
-    total[stats["at"].to_numpy()] = stats["n"].to_numpy()
-    n, words, frequency = int(total[BUCKETS]), int(total[BUCKETS + 1]), total[:BUCKETS]
-    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-    shared = documents.sparkSession.sparkContext.broadcast((idf, words / max(n, 1)))
-    shards = max(1, math.ceil(n / SHARD_TEXTS))
-
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        weights, average = shared.value
-        rest = batch["tokens"].to_numpy() % capacity
-        full = batch["tokens"].to_numpy() // capacity
-        # An exact multiple ends in a full piece.
-        order = np.lexsort((batch["doc_id"].to_numpy(), -rest))
-        order = order[rest[order] > 0]
-        items = batch.iloc[order]
-        sizes = rest[order]
-        index = Shard(sizes, [np.frombuffer(t, np.uint16) for t in items["terms"]], [np.frombuffer(c, np.uint16) for c in items["counts"]], weights, average)
-        container = fill(sizes, index, capacity)
-        shard = int(batch["shard"].iloc[0])
-        out = [(int(d), int(f), int(f) * capacity, int(s), f"{shard}-{c}") for d, f, s, c in zip(items["doc_id"], full[order], sizes, container)]
-        out += [(int(d), p, p * capacity, capacity, f"{shard}-{d}.{p}") for d, f in zip(batch["doc_id"], full) for p in range(int(f))]
-        return pd.DataFrame(out, columns=["doc_id", "piece", "first_token", "tokens", "container"])
-
-    dealt = measured.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    packed = dealt.groupBy("shard").applyInPandas(pack, "doc_id long, piece int, first_token int, tokens int, container string")
-    return packed.withColumn("capacity", F.lit(capacity))
+    measured = cut(rows.mapInPandas(_measure(tokenizers), "doc_id long, tokens int, words long, terms array<long>, counts array<int>"))
+    unused = cut(_weighted(measured, capacity))
+    fields = "doc_id long, container string"
+    placed = spark.createDataFrame([], fields)
+    # Containers that ask again, as (name, room, terms), with what they hold; a round's lists bound their number.
+    waiting: list[tuple[str, int, np.ndarray]] = []
+    number = 0
+    while True:
+        left = unused.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
+        n, tokens = left["n"], left["tokens"]
+        if n <= SHARD_TEXTS and not waiting or not n:
+            break
+        least = math.ceil(tokens / capacity)
+        most = max(8, min(n, math.ceil(1.5 * n / least), LIST_ROWS))
+        wanted = max(0, max(1, min(ROUND_SEEDS, LIST_ROWS // most, math.ceil(least / 2))) - len(waiting)) if n > SHARD_TEXTS else 0
+        fresh = unused.orderBy(F.desc("tokens"), "doc_id").limit(wanted).select("doc_id", "tokens", "terms").toPandas() if wanted else None
+        number += 1
+        seeds = [(None, *w) for w in waiting]
+        if fresh is not None:
+            seeds += [(int(d), f"{number}-{i}", capacity - int(t), np.asarray(terms)) for i, (d, t, terms) in enumerate(zip(fresh["doc_id"], fresh["tokens"], fresh["terms"]))]
+        shared = spark.sparkContext.broadcast((np.array([-1 if s[0] is None else s[0] for s in seeds]), np.array([s[2] for s in seeds]), [s[3] for s in seeds]))
+        hits = unused.mapInPandas(_hits(shared, most), "part int, seed int, score float, doc_id long, size int")
+        order = Window.partitionBy("part", "seed").orderBy(F.desc("score"), "doc_id")
+        lists = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).toPandas().sort_values(["seed", "part", "place"])
+        shared.unpersist()
+        starts = np.searchsorted(lists["seed"].to_numpy(), np.arange(len(seeds) + 1))
+        ids, sizes, parts = (lists[c].to_numpy() for c in ("doc_id", "size", "part"))
+        used: dict[int, str] = {}
+        waiting, open_ = [], []
+        for i, (own, name, room, terms) in enumerate(seeds):
+            if own is not None:
+                # A larger seed has taken this one.
+                if own in used:
+                    continue
+                used[own] = name
+            here = slice(starts[i], starts[i + 1])
+            for d, size in zip(ids[here].tolist(), sizes[here].tolist()):
+                if size <= room and d not in used:
+                    used[d] = name
+                    room -= size
+            # Full lists may have left out a text that fits.
+            full = max((parts[here] == 1).sum(), (parts[here] == 8).sum()) >= most
+            if room and full:
+                waiting.append((name, room, terms))
+            elif room:
+                open_.append((name, room))
+        now = cut(spark.createDataFrame(list(used.items()), fields)) if used else placed.limit(0)
+        rest = unused.join(F.broadcast(now.select("doc_id")), "doc_id", "left_anti") if used else unused
+        if open_:
+            # No text that fits shares a term with these; sizes alone close them, out of a bounded sample.
+            rising = sorted((r["tokens"], r["doc_id"]) for r in rest.select("tokens", "doc_id").orderBy(F.xxhash64("doc_id")).limit(max(ROUND_SEEDS, 2 * most)).collect())
+            closed = [(d, name) for name, room in open_ for d in close(room, rising)]
+            if closed:
+                now = cut(now.unionByName(spark.createDataFrame(closed, fields)))
+                rest = unused.join(F.broadcast(now.select("doc_id")), "doc_id", "left_anti")
+        smallest = rest.agg(F.min("tokens")).first()[0] or capacity + 1
+        waiting = [w for w in waiting if w[1] >= smallest]
+        placed = placed.unionByName(now)
+        unused = cut(rest)
+    # What one index holds is packed one seed after another.
+    last = unused.toPandas().sort_values(["tokens", "doc_id"], ascending=[False, True])
+    container = fill(last["tokens"].to_numpy(), list(last["terms"]), list(last["weights"]), capacity)
+    names = [(int(d), f"0-{c}") for d, c in zip(last["doc_id"], container)]
+    placed = placed.unionByName(spark.createDataFrame(names, fields)) if names else placed
+    full = F.floor(F.col("tokens") / capacity).cast("int")
+    rests = measured.join(placed, "doc_id").select("doc_id", full.alias("piece"), (full * capacity).alias("first_token"), (F.col("tokens") % capacity).alias("tokens"), "container")
+    pieces = measured.where(full > 0).select("doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    pieces = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.lit(capacity).alias("tokens"), F.concat(F.lit("full-"), "doc_id", F.lit("."), "piece").alias("container"))
+    return rests.unionByName(pieces).withColumn("capacity", F.lit(capacity))

@@ -132,3 +132,15 @@ def test_empty_tables(spark):
     assert selection.count() == 0 and [(r["source"], r["actual_share"]) for r in report.collect()] == [("a", 0.0)]
     selection, report = mix_sources(df, targets.limit(0))
     assert selection.count() == 0 and report.count() == 0
+
+
+def test_neighbours_are_found_in_the_whole_collection(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TEXTS", 20)
+    # Families of four texts fill a container each; what tells them apart is two words among frequent ones.
+    rows = [(i, f"the shard and the index {'alpha' * (1 + i // 4 % 8)}x{chr(97 + i // 32)} " + "with the buffer " * 5) for i in range(160)]
+    got = packed(spark, rows, 4 * max(count_tokens(t) for _, t in rows))
+    holds = {}
+    for r in got:
+        holds.setdefault(r["container"], []).append(rows[r["doc_id"]][1])
+    beside = [max(texts.count(t) for t in texts) for texts in holds.values()]
+    assert len(got) == 160 and sum(n >= 3 for n in beside) > 0.9 * 40
