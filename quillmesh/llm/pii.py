@@ -4,7 +4,7 @@ Each detected item gets a surrogate of its own type, script and format that
 depends only on a key and on the item's parts, so the same person keeps one
 name throughout the collection and a family name alone keeps the one of the
 full name.  Surrogates are checked against each other and against the real
-values, and drawn again until they are distinct.
+values, as they come out, and drawn again until they are distinct.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from quillmesh.session import cut
 FOUND = "doc_id long, start int, stop int, pii_type string, pii_text string"
 #: The most names a lexicon may hold to be sent to every task.
 LEXICON_ROWS = 200_000
-#: Draws before two parts that still share a surrogate get a counted one.
+#: Draws after which a part that still shares its surrogate gets one with a growing number behind it.
 DRAWS = 12
+#: Digits of the seed from which items other than names are rendered; a number may follow them.
+SEED_DIGITS = 30
 
 # Syllables and characters that surrogate names are made of.
 _ONSETS = "bal dor fen gal hes jun kor lun mar nev ost per quin ril sev tam ulm ven wil yar".split()
@@ -98,15 +100,16 @@ def _pick(bits: int, *lists: str | list[str]) -> str:
 def surrogate_part(key: bytes, kind: str, part: str, draw: int) -> str:
     """The surrogate of a part.  Names follow the script, and given names the ending that tells their gender; other items become a seed of digits."""
     bits = _bits(key, kind, part, draw)
+    counted = str(_bits(key, kind, part, -draw) % 10 ** (draw - DRAWS + 2)) if draw > DRAWS else ""
     if kind == "ja_family":
-        return _pick(bits, _KANJI_FAMILY, _KANJI_FAMILY)
+        return _pick(bits, _KANJI_FAMILY, _KANJI_FAMILY) + counted
     if kind == "ja_given":
-        return _pick(bits, *[_KANJI_GIVEN] * max(1, min(2, len(part))))
+        return _pick(bits, *[_KANJI_GIVEN] * max(1, min(2, len(part)))) + counted
     if kind == "family":
-        return _pick(bits, _ONSETS, _MIDDLES, _ONSETS, _ENDS_FAMILY)
+        return _pick(bits, _ONSETS, _MIDDLES, _ONSETS, _ENDS_FAMILY) + counted
     if kind == "given":
-        return _pick(bits, _ONSETS, _MIDDLES, _ENDS_OPEN if part[-1:] in "aeiy" else _ENDS_CLOSED)
-    return str(bits % 10**30).zfill(30)
+        return _pick(bits, _ONSETS, _MIDDLES, _ENDS_OPEN if part[-1:] in "aeiy" else _ENDS_CLOSED) + counted
+    return str(bits % 10**SEED_DIGITS).zfill(SEED_DIGITS) + counted
 
 
 def _cased(like: str, word: str) -> str:
@@ -124,7 +127,7 @@ def render(kind: str, text: str, surrogates: dict[tuple[str, str], str]) -> str:
         by_word = {p: surrogates[k, p] for k, p in parts_of(kind, text)}
         return re.sub(r"[^\s,]+", lambda m: _cased(m[0], by_word[m[0].casefold()]) if m[0].casefold() in by_word else m[0], text)
     ((part_kind, part),) = parts_of(kind, text)
-    seed = int(surrogates[part_kind, part])
+    seed, counted = int(surrogates[part_kind, part][:SEED_DIGITS]), surrogates[part_kind, part][SEED_DIGITS:]
     taken = 0
 
     def draw(size: int) -> int:
@@ -139,11 +142,11 @@ def render(kind: str, text: str, surrogates: dict[tuple[str, str], str]) -> str:
         at = re.search(r"\s?(?:@|＠|&#64;|&commat;|[\[({]\s?\w+\s?[\])}]|\bat\b)\s?", text)
         local = re.sub(r"[A-Za-z]", lambda m: _cased(m[0], "abcdefghijklmnopqrstuvwxyz"[draw(26)]), text[: at.start()]) if at else text
         local = re.sub(r"\d", lambda m: str(draw(10)), local)
-        return f"{local}{at[0]}mail.example" if at else local
+        return f"{local}{counted}{at[0]}mail.example" if at else local + counted
     if kind == "phone":
         head = re.match(r"(?:\+|＋|00)?\d{1,2}(?=\D)|[+＋]\d{2}|0", text)
         keep = head.end() if head else 0
-        return text[:keep] + re.sub(r"\d", lambda m: chr(ord(m[0]) - int(m[0]) + draw(10)), text[keep:])
+        return text[:keep] + re.sub(r"\d", lambda m: chr(ord(m[0]) - int(m[0]) + draw(10)), text[keep:]) + counted
     if kind == "address":
         out = re.sub(r"\d", lambda m: chr(ord(m[0]) - int(m[0]) + draw(10)), text)
         out = re.sub(r"[一-龥]+(?=[都道府県市区町村])", lambda m: _KANJI_FAMILY[draw(len(_KANJI_FAMILY))] + _KANJI_FAMILY[draw(len(_KANJI_FAMILY))], out)
@@ -154,35 +157,44 @@ def render(kind: str, text: str, surrogates: dict[tuple[str, str], str]) -> str:
             tail = re.search(r"(straße|strasse|str|gasse|weg|platz|allee)$", m[0])
             return _cased(m[0], _ONSETS[draw(len(_ONSETS))] + _MIDDLES[draw(len(_MIDDLES))] + _ENDS_FAMILY[draw(len(_ENDS_FAMILY))]) + (tail[0] if tail else "")
 
-        return re.sub(r"[A-ZÀ-Ý][\w'’-]+", word, out)
+        return re.sub(r"[A-ZÀ-Ý][\w'’-]+", word, out) + (f" {counted}" if counted else "")
     out = re.sub(r"\d", lambda m: chr(ord(m[0]) - int(m[0]) + draw(10)), text)
-    return re.sub(r"[A-Z]", lambda m: "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw(26)], out)
+    return re.sub(r"[A-Z]", lambda m: "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw(26)], out) + counted
 
 
-def _surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """``kind, part, surrogate`` without two parts of a kind that share one, and without one that is a real part."""
+def shown(kind: str, part: str, text: str | None, surrogate: str) -> str:
+    """What a part's surrogate comes out as in ``text``, in one spelling; a name's part is its surrogate."""
+    return surrogate if text is None else parts_of(kind, render(kind, text, {(kind, part): surrogate}))[0][1]
+
+
+def _surrogates(items: DataFrame, key: str) -> DataFrame:
+    """``kind, part, surrogate`` without two parts of a kind that come out alike in any text, and without one that comes out as a real part."""
     secret = key.encode()
 
     @F.pandas_udf("string")
     def made(kind: pd.Series, part: pd.Series, draw: pd.Series) -> pd.Series:
         return pd.Series([surrogate_part(secret, k, p, d) for k, p, d in zip(kind, part, draw)])
 
+    @F.pandas_udf("string")
+    def out(kind: pd.Series, part: pd.Series, text: pd.Series, surrogate: pd.Series) -> pd.Series:
+        return pd.Series([shown(*x) for x in zip(kind, part, text.astype(object).where(text.notna(), None), surrogate)])
+
     def drawn(df: DataFrame, n: Column) -> DataFrame:
-        return df.select("kind", "part", n.alias("draw")).withColumn("surrogate", made("kind", "part", "draw"))
-
-    state = cut(drawn(parts, F.lit(0)))
-    for _ in range(DRAWS):
-        keeper = state.groupBy("kind", "surrogate").agg(F.min("part").alias("keeper"), F.count("*").alias("n"))
-        clash = keeper.where("n > 1").select("kind", "surrogate", "keeper")
-        real = state.select("kind", F.col("part").alias("surrogate"), F.lit(True).alias("real"))
-        marked = state.join(clash, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
-        marked = cut(marked.withColumn("again", F.coalesce("real", F.lit(False)) | F.coalesce(F.col("keeper") != F.col("part"), F.lit(False))))
+        new = df.select("kind", "part", "text", n.alias("draw")).withColumn("surrogate", made("kind", "part", "draw"))
+        return new.withColumn("shown", out("kind", "part", "text", "surrogate"))
+
+    texts = items.select("kind", "part", F.when(F.col("pii_type") != "name", F.col("pii_text")).alias("text")).distinct()
+    state = cut(drawn(texts, F.lit(0)))
+    real = cut(state.select("kind", F.col("part").alias("shown"), F.lit(True).alias("real")).distinct())
+    while True:
+        # Of parts that come out alike the smallest keeps its surrogate.
+        keeper = state.groupBy("kind", "shown").agg(F.min("part").alias("keeper"), F.max("part").alias("other")).where("keeper <> other").select("kind", "shown", "keeper")
+        marked = state.join(keeper, ["kind", "shown"], "left").join(real, ["kind", "shown"], "left")
+        bad = marked.where(F.col("real") | (F.col("keeper") != F.col("part"))).select("kind", "part").distinct().withColumn("again", F.lit(True))
+        marked = cut(state.join(bad, ["kind", "part"], "left"))
         if marked.where("again").isEmpty():
-            return state.select("kind", "part", "surrogate")
-        state = cut(marked.where("not again").select("kind", "part", "draw", "surrogate").unionByName(drawn(marked.where("again"), F.col("draw") + 1)))
-    keeper = state.groupBy("kind", "surrogate").agg(F.min("part").alias("keeper"))
-    left = state.join(keeper, ["kind", "surrogate"])
-    return left.select("kind", "part", F.when(F.col("keeper") == F.col("part"), F.col("surrogate")).otherwise(F.concat("surrogate", F.conv(F.left(F.sha2("part", 256), F.lit(8)), 16, 10))).alias("surrogate"))
+            return state.select("kind", "part", "surrogate").distinct()
+        state = cut(marked.where("again is null").drop("again").select(*state.columns).unionByName(drawn(marked.where("again"), F.col("draw") + 1)))
 
 
 def replace_pii(documents: DataFrame, lexicon: DataFrame, key: str = "quillmesh", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,7 +212,7 @@ def replace_pii(documents: DataFrame, lexicon: DataFrame, key: str = "quillmesh"
     # Distinct items first: an item that stands in a third of all texts is one row from here on.
     items = found.select("pii_type", "pii_text").distinct().mapInPandas(split, "pii_type string, pii_text string, kind string, part string")
     items = cut(items)
-    drawn = _surrogates(items.select("kind", "part").distinct(), key)
+    drawn = _surrogates(items, key)
     bundles = items.join(drawn, ["kind", "part"]).groupBy("pii_type", "pii_text").agg(F.collect_list(F.struct("kind", "part", "surrogate")).alias("drawn"))
 
     @F.pandas_udf("string")

@@ -1,5 +1,6 @@
 import pytest
 
+from quillmesh.llm import pii as P
 from quillmesh.llm.pii import find_pii, parts_of, render, replace_pii, surrogate_part
 from quillmesh.llm.pii_scan import Names, scan
 
@@ -78,3 +79,18 @@ def test_format_is_kept():
     new = render("id_number", "QX 4138981", made)
     assert new[2] == " " and new[:2].isalpha() and new[3:].isdigit()
     assert len(render("name", "霧守 蒼司", made)) == 5
+
+
+@pytest.mark.parametrize("kind, items", {
+    "email": [f"{a}@{b}.test" for a in "abcdefghijklmnopqrst" for b in ("one", "two")],
+    "phone": [f"+1 {i}" for i in range(10, 50)],
+    "id_number": [f"A{i}" for i in range(8)] + [f"{i}{i}" for i in range(1, 10)] + ["Q"],
+    "address": [f"{i} Lane" for i in range(1, 10)] + ["Lane", "St."],
+    "name": [f"{chr(65 + i // 26)}{chr(97 + i % 26)}na" for i in range(300)],
+}.items())
+def test_surrogates_of_every_type_come_out_distinct(spark, kind, items):
+    rows = [(kind, t, k, p) for t in items for k, p in parts_of(kind, t)]
+    df = spark.createDataFrame(rows, "pii_type string, pii_text string, kind string, part string")
+    drawn = {(r["kind"], r["part"]): r["surrogate"] for r in P._surrogates(df, "k").collect()}
+    new = [render(kind, t, drawn) for t in items]
+    assert len(set(new)) == len(items) and not {parts_of(kind, t)[0][1] for t in new} & {parts_of(kind, t)[0][1] for t in items}
