@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import pair_checks as C
+from quillmesh.operators.components import connected_components
 from quillmesh.operators.neardup import letters_and_digits, run_hashes
 from quillmesh.session import cut
 
@@ -67,36 +68,42 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["opening", "band", "bucket"])
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of each opening to those before it in its bucket that stand for it; one that resembles none of them stands for itself.  Rows come sorted by band and bucket."""
+    at, heads = None, []
     for batch in batches:
-        keep = []
-        for a, b in zip(batch["opening"], batch["seed"]):
-            x, y = run_hashes(a, 5), run_hashes(b, 5)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(common >= SIMILAR * (len(x) + len(y) - common))
-        yield batch[keep]
+        rows = []
+        for opening, band, bucket in zip(batch["opening"], batch["band"], batch["bucket"]):
+            if (band, bucket) != at:
+                at, heads = (band, bucket), []
+            x = run_hashes(opening, 5)
+            linked = False
+            for head, y in heads:
+                if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= SIMILAR * (len(x) + len(y) - common):
+                    rows.append((opening, head))
+                    linked = True
+            if not linked:
+                heads.append((opening, x))
+        yield pd.DataFrame(rows, columns=["a", "b"])
 
 
 def opening_templates(looked: DataFrame) -> DataFrame:
-    """``opening, prompts, bare`` of every opening whose cluster holds one that recurs.
+    """``opening, prompts, bare`` of every opening: the distinct instructions of its cluster, and the share of its responses with at most one more sentence.
 
-    Clusters form around openings that stand word for word before at least two
-    unrelated instructions; an opening joins the most frequent such seed that
-    it resembles.
+    Clusters are the connected components of verified links between all
+    distinct openings, those that occur once included.
     """
     # Distinct prompts are counted first, so that a pair repeated under other ids is one, and a frequent opening one row.
     once = looked.where("opening <> ''").groupBy("opening", "prompt").agg(F.min("more").alias("more"))
-    openings = once.groupBy("opening").agg(F.count("*").alias("n"), F.sum((F.col("more") <= 1).cast("long")).alias("short"))
-    signed = openings.select("opening").mapInPandas(_sign, "opening string, band int, bucket binary")
-    seeds = openings.where("n >= 2").select(F.col("opening").alias("seed"), F.col("n").alias("weight"))
-    seed_bands = signed.join(seeds, F.col("opening") == F.col("seed")).select("seed", "weight", "band", "bucket")
-    met = signed.join(seed_bands, ["band", "bucket"]).where("opening <> seed").select("opening", "seed", "weight").distinct()
-    alike = met.mapInPandas(_alike, "opening string, seed string, weight long")
-    own = seeds.select(F.col("seed").alias("opening"), "seed", "weight")
-    belongs = alike.unionByName(own).groupBy("opening").agg(F.max(F.struct("weight", "seed")).alias("to")).select("opening", F.col("to.seed").alias("seed"))
-    joined = openings.join(belongs, "opening")
-    whole = joined.groupBy("seed").agg(F.sum("n").alias("prompts"), (F.sum("short") / F.sum("n")).alias("bare"))
-    return joined.join(whole, "seed").select("opening", "prompts", "bare")
+    signed = once.select("opening").distinct().mapInPandas(_sign, "opening string, band int, bucket binary")
+    links = cut(signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "opening").mapInPandas(_link, "a string, b string").distinct())
+    parts = connected_components(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    own = once.withColumn("node", F.xxhash64("opening")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = own.groupBy("component").agg(F.count_distinct("prompt").alias("prompts"), F.avg((F.col("more") <= 1).cast("double")).alias("bare"))
+    return own.select("opening", "component").distinct().join(whole, "component").select("opening", "prompts", "bare")
 
 
 def defective_pairs(pairs: DataFrame, pair_id: str = "pair_id", instruction: str = "instruction", context: str = "context", response: str = "response") -> DataFrame:

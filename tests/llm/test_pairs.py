@@ -71,3 +71,9 @@ def test_helpers():
     assert copied_share("What is a shard index?", None, "what is a shard index") == 1.0 and copied_share("What is a shard?", None, LONG) == 0.0
     assert ending("One two")[0] == "open" and ending("One, two")[0] == "cut" and ending("Yes.")[0] == "ended"
     assert P.RECURS > 1
+
+
+def test_template_that_never_recurs_verbatim(spark):
+    text = "Our desk has closed the matter of topic {} and leaves every further remark on it to the people who keep the ledger."
+    rows = [(i, ASK.format(i), None, text.format(w)) for i, w in enumerate("amber birch cedar drift ember flint".split())]
+    assert found(spark, rows) == {i: "refusal" for i in range(6)}
