@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from quillmesh.llm.tokens import DEFAULT_FOLDER, encoding
 from quillmesh.session import cut
 
-#: The most sets of sources that the flow takes; beyond it the rarest sets count for one of their sources each.
-PATTERNS = 5000
 #: Parts of a set that are summed up first, so that no task orders a whole set.
 PARTS = 256
 
@@ -88,15 +86,15 @@ def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], u
 
     A pattern's texts are used at most as often as every one of its sources allows.
     """
-    names = sorted(quotas)
+    names = {s: i for i, s in enumerate(sorted(quotas))}
     first = 2 + len(patterns)
     flow = Flow(first + len(names))
     entry, out = [], {}
     for p, (sources, _) in enumerate(patterns):
         entry.append(flow.add(0, 2 + p, 0))
         for s in sources:
-            out[p, s] = flow.add(2 + p, first + names.index(s), 1 << 62)
-    for i, s in enumerate(names):
+            out[p, s] = flow.add(2 + p, first + names[s], 1 << 62)
+    for s, i in names.items():
         flow.add(first + i, 1, quotas[s])
     most = [min(uses[s] for s in sources) for sources, _ in patterns]
     reached = 0
@@ -168,14 +166,7 @@ def mix_sources(
     held = sized.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     texts = held.groupBy("text_key").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("copies"))
     texts = cut(texts.withColumn("pattern", F.concat_ws("\n", F.transform("copies", lambda c: c.source))))
-    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "pattern")
-    rare = sums.offset(PATTERNS)
-    if not rare.isEmpty():
-        texts = texts.join(rare.select("pattern", F.lit(True).alias("rare")), "pattern", "left")
-        single = F.slice("copies", 1 + F.pmod(F.xxhash64("text_key"), F.size("copies")).cast("int"), 1)
-        texts = texts.withColumn("copies", F.when(F.col("rare"), single).otherwise(F.col("copies"))).drop("rare")
-        texts = cut(texts.withColumn("pattern", F.concat_ws("\n", F.transform("copies", lambda c: c.source))))
-        sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).orderBy("pattern")
+    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).orderBy("pattern")
     patterns = [(tuple(r["pattern"].split("\n")), int(r["tokens"])) for r in sums.collect()]
     present = {s for sources, _ in patterns for s in sources}
     scale = sum(share for s, share, _ in listed if s in present)
@@ -188,7 +179,7 @@ def mix_sources(
             if amount := given.get((p, s), 0):
                 plan.append(("\n".join(sources), tokens, s, at, at + amount))
                 at += amount
-    # The plan has at most PATTERNS times the targets' rows.
+    # The plan has at most a row for each set and each of its sources.
     plans = spark.createDataFrame(plan, "pattern string, whole long, source string, low long, high long")
     reach = plans.groupBy("pattern").agg(F.max("whole").alias("whole"), F.max("high").alias("reach"), F.collect_list(F.struct("low", "high", "source")).alias("stretches"))
 
@@ -197,7 +188,7 @@ def mix_sources(
     parts = ordered.groupBy("pattern", "part").agg(F.sum("tokens").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("part")) - F.col("n")).select("pattern", "part", "before")
     inside = Window.partitionBy("pattern", "part").orderBy("seeded", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ordered.withColumn("up_to", F.sum("tokens").over(inside)).join(before, ["pattern", "part"]).join(F.broadcast(reach), "pattern")
+    placed = ordered.withColumn("up_to", F.sum("tokens").over(inside)).join(before, ["pattern", "part"]).join(reach, "pattern")
     placed = placed.withColumn("start", F.col("before") + F.col("up_to") - F.col("tokens"))
     # A text is taken where its middle lies inside a stretch, so the cuts err by half a text either way.
     passes = placed.withColumn("use_no", F.explode(F.sequence(F.lit(1), F.ceil(F.col("reach") / F.col("whole")).cast("int")))).withColumn(

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quillmesh.llm import packing
+from quillmesh.llm import mixing, packing
 from quillmesh.llm.mixing import largest_mix, mix_sources, route
 from quillmesh.llm.packing import pack_containers
 from quillmesh.llm.tokens import count_tokens
@@ -144,3 +144,19 @@ def test_neighbours_are_found_in_the_whole_collection(spark, monkeypatch):
         holds.setdefault(r["container"], []).append(rows[r["doc_id"]][1])
     beside = [max(texts.count(t) for t in texts) for texts in holds.values()]
     assert len(got) == 160 and sum(n >= 3 for n in beside) > 0.9 * 40
+
+
+def test_rare_sets_of_sources_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PATTERNS", 1, raising=False)
+    # Only texts of both sources can reach b, and a's single repetition bounds them.
+    rows = [(i, f"shard index graph schema {i}", "a") for i in range(60)] + [(100 + i, f"record parser router cursor {i // 2}", "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 4)], "source string, target_share double, max_repeats int")
+    selection, report = mix_sources(df, targets)
+    texts = dict((r[0], r[1]) for r in rows)
+    used = [texts[r["doc_id"]] for r in selection.collect()]
+    size = {t: count_tokens(t) for t in texts.values()}
+    # The optimum takes everything, or as much as lets b's texts be two fifths.
+    most = min(sum(size.values()), sum(n for t, n in size.items() if t.startswith("record")) / 0.4)
+    assert max(map(used.count, used)) == 1 and sum(size[t] for t in used) > 0.97 * most
+    assert abs({r["source"]: r["actual_share"] for r in report.collect()}["b"] - 0.4) < 0.02
