@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators.vectors import usable_vectors  # noqa: F401
 from quillmesh.session import cut
 
 #: Rows of the sample that the shard tree is fitted on (all rows are indexed).
@@ -35,18 +36,6 @@ PIVOTS = 24
 QUERY_BLOCK = 32_768
 
 
-def usable_vectors(df: DataFrame, vec_id: str = "vec_id", model: str = "model", embedding: str = "embedding", dim: int = 64) -> DataFrame:
-    """Rows with exactly ``dim`` finite values that aren't all zero, as ``vec_id, model, embedding``.
-
-    Rows with a null id, model or embedding, or with a null value inside it, are left out.
-    """
-    return (
-        df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(model).cast("string").alias("model"), F.col(embedding).cast("array<float>").alias("embedding"))
-        .where(F.col("vec_id").isNotNull() & F.col("model").isNotNull() & (F.size("embedding") == dim))
-        .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    )
-
-
 def _unit(values: Iterable) -> np.ndarray:
     x = np.array(list(values), dtype=np.float64)
     if not len(x):

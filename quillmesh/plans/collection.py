@@ -17,7 +17,6 @@ from quillmesh.operators import search as S
 from quillmesh.operators import serving as W
 from quillmesh.operators import vectors as V
 from quillmesh.operators import views
-from quillmesh.operators.vptree import usable_vectors
 from quillmesh.session import table
 from quillmesh.streaming.inbox import run_to_table, windowed_counts
 
@@ -452,7 +451,7 @@ def vector_hash_embedding(t: Tables) -> DataFrame:
 )
 def vector_search(t: Tables) -> DataFrame:
     """The ten vectors most like the first."""
-    vectors = usable_vectors(t.raw("doc_vectors")).where("model = 'hash-64'")
+    vectors = V.usable_vectors(t.raw("doc_vectors")).where("model = 'hash-64'")
     first = vectors.orderBy("vec_id").limit(1).collect()
     return V.embedding_search(vectors, first[0]["embedding"]) if first else vectors.select("vec_id", F.lit(0.0).alias("score")).limit(0)
 
