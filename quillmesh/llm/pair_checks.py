@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 
-from quillmesh.operators.neardup import letters_and_digits, run_hashes
+from quillmesh.llm.neardup import letters_and_digits, run_hashes
 
 # What stands for an answer that isn't there.
 PLACEHOLDERS = frozenset(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import pair_checks as C
 from quillmesh.operators.components import connected_components
-from quillmesh.operators.neardup import letters_and_digits, run_hashes
+from quillmesh.llm.neardup import letters_and_digits, run_hashes
 from quillmesh.session import cut
 
 #: Share of a response's runs that must come from instruction and context in a copy.

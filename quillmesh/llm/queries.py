@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.canonical import canonical_values, map_mentions
+from quillmesh.llm.cooccurrence import significant_pairs
 from quillmesh.llm.mixing import mix_sources
+from quillmesh.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from quillmesh.llm.packing import pack_containers
 from quillmesh.llm.pairs import defective_pairs
 from quillmesh.llm.pii import find_pii, replace_pii
+from quillmesh.llm.vptree import nearest, similar_pairs, usable_vectors
 from quillmesh.session import table
 
 #: The container that ``p6_containers`` fills, by its name in ``container_specs``.
@@ -20,6 +24,50 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return defective_pairs(table(spark, root, "training_pairs"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of concepts at least five times together and four times as often as chance."""
+    return significant_pairs(table(spark, root, "doc_concepts"), "doc_id", "concept_id").select("concept_a", "concept_b")
+
+
+def p2_scored_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The same pairs with their counts, ratio and log-likelihood ratio."""
+    pairs = significant_pairs(table(spark, root, "doc_concepts"), "doc_id", "concept_id")
+    return pairs.select("concept_a", "concept_b", "n_ab", "n_a", "n_b", F.round("ratio", 6).alias("ratio"), F.round("llr", 6).alias("llr"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Mentions that aren't an entry as typed, with the entry they mean or ''."""
+    mapped = map_mentions(table(spark, root, "concept_mentions"), "mention_id", "raw_label", table(spark, root, "concepts"), "concept_id", "label")
+    return mapped.where(F.col("how").isin("repaired", "unmatched")).select("mention_id", F.coalesce("entry", F.lit("")).alias("concept_id")).distinct()
+
+
+def p3_values(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct value with its entry, score and how it was found, unmatched ones included."""
+    return canonical_values(table(spark, root, "concept_mentions"), "raw_label", table(spark, root, "concepts"), "concept_id", "label")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of vectors of one model with a cosine of 0.9 or more, one among the other's ten nearest."""
+    return similar_pairs(usable_vectors(table(spark, root, "doc_vectors")), k=10, min_cosine=0.9)
+
+
+def p4_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar vectors, however far, of every vector whose id is divisible by 50, against all."""
+    vectors = usable_vectors(table(spark, root, "doc_vectors"))
+    near = nearest(vectors, k=10, queries=vectors.where("vec_id % 50 = 0"))
+    return near.select("vec_id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of documents whose contents are equal or nearly so."""
+    return near_duplicate_pairs(table(spark, root, "docs"))
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    """One row per document with its class, its group and its number of links."""
+    return near_duplicate_groups(table(spark, root, "docs"))
+
+
 def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     """Every text in a container of the default specification."""
     (spec,) = table(spark, root, "container_specs").where(F.col("spec_name") == CONTAINER).select("capacity_tokens").limit(1).collect()
@@ -46,6 +94,48 @@ def p8_texts(spark: SparkSession, root: str) -> DataFrame:
     return replace_pii(table(spark, root, "documents"), table(spark, root, "name_lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_containers, p7_selection, p7_shares, p8_found, p8_texts)}
-#: None of these can be stated in SQL over the tables; tests hold them against brute force and invariants.
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_scored_pairs, p3_found, p3_values, p4_found, p4_nearest, p5_found, p5_groups, p6_containers, p7_selection, p7_shares, p8_found, p8_texts)}
+
+_PAIRS = """
+with m as (select distinct doc_id, lower(trim(concept_id)) as c from doc_concepts
+           where trim(coalesce(doc_id, '')) <> '' and trim(coalesce(concept_id, '')) <> ''),
+     t as (select count(distinct doc_id) as n from m),
+     k as (select c, count(*) as n from m group by c),
+     p as (select a.c as concept_a, b.c as concept_b, count(*) as n_ab from m a join m b on a.doc_id = b.doc_id and a.c < b.c group by 1, 2),
+     s as (select concept_a, concept_b, n_ab, ka.n as n_a, kb.n as n_b, t.n as n
+           from p join k ka on ka.c = concept_a join k kb on kb.c = concept_b cross join t
+           where n_ab >= 5 and n_ab * t.n >= 4 * ka.n * kb.n)
+"""
+
+
+def _x(term: str) -> str:
+    return f"(case when {term} > 0 then ({term}) * ln({term}) else 0 end)"
+
+
+_G2 = f"2.0 * ({_x('n_ab')} + {_x('n_a - n_ab')} + {_x('n_b - n_ab')} + {_x('n - n_a - n_b + n_ab')} - {_x('n_a')} - {_x('n - n_a')} - {_x('n_b')} - {_x('n - n_b')} + {_x('n')})"
+
+_VECTORS = """
+with v as (select vec_id, model, embedding::double[] as e from doc_vectors
+           where model is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0)
+"""
+
+#: Of the others none can be stated in SQL over the tables; tests hold them against brute force and invariants.
+ORACLES = {
+    "p2_found": _PAIRS + "select concept_a, concept_b from s",
+    "p2_scored_pairs": _PAIRS + f"select concept_a, concept_b, n_ab, n_a, n_b, round(n_ab::double * n / (n_a::double * n_b), 6) as ratio, round({_G2}, 6) as llr from s",
+    "p4_found": _VECTORS
+    + """, d as (select a.vec_id as q, b.vec_id as o, list_cosine_similarity(a.e, b.e) as cosine from v a join v b on a.model = b.model and a.vec_id <> b.vec_id),
+       r as (select q, o, cosine, row_number() over (partition by q order by round(cosine, 9) desc, o) as k from d)
+       select distinct least(q, o) as vec_a, greatest(q, o) as vec_b from r where k <= 10 and cosine >= 0.9""",
+    "p4_nearest": _VECTORS
+    + """, d as (select a.vec_id, b.vec_id as other, list_cosine_similarity(a.e, b.e) as cosine from v a join v b on a.model = b.model and a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+       r as (select vec_id, other, cosine, row_number() over (partition by vec_id order by round(cosine, 9) desc, other)::int as rank from d)
+       select vec_id, other, round(cosine, 6) as cosine, rank from r where rank <= 10""",
+    "p5_found": r"""
+       with n as (select distinct id, lower(regexp_replace(content, '[^\p{L}\p{N}]+', '', 'g')) as t from docs where id is not null and content is not null),
+            g as (select distinct id, substr(t, i::int, 5) as g from n, unnest(range(1, length(t) - 3)) as u(i) where length(t) >= 5),
+            k as (select id, count(*) as n from g group by id),
+            c as (select a.id as id_a, b.id as id_b, count(*) as c from g a join g b on a.g = b.g and a.id < b.id group by 1, 2)
+       select id_a, id_b from c join k ka on ka.id = id_a join k kb on kb.id = id_b where c >= 0.6 * (ka.n + kb.n - c)""",
+}
