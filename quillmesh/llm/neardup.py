@@ -207,7 +207,7 @@ def part_pairs(rows: pd.DataFrame, levels: np.ndarray, share: float) -> pd.DataF
     order = np.argsort(stored)
     stored, owners = stored[order], owners[order]
     # How often the low bits of a key occur: most keys are of one set only and go no further.
-    power = min(23, max(10, len(stored).bit_length()))
+    power = min(23, max(10, len(stored).bit_length() + 2))
     low = np.uint64((1 << power) - 1)
     seen = np.minimum(np.bincount((stored & low).astype(np.int64), minlength=1 << power), 2).astype(np.uint8)
     both = np.arange(2 * int(k.max()) + 1)
