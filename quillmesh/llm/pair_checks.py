@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
+import regex
 
 from quillmesh.llm.neardup import letters_and_digits, run_hashes
 
@@ -22,26 +23,32 @@ FUNCTION_WORDS = {
     "en": frozenset("the a an of and is are to in for with that this which when each by not only does it its at most before after more than what how why from every both yet one be as on our".split()),
     "de": frozenset("der die das den dem des ein eine einen einem einer und ist nicht mit von zu im in für auch mehr als jeden wird nur sondern wer was wie warum hat weil sobald zwischen liegt laut rund bevor uns keine kein etwa".split()),
     "fr": frozenset("le la les un une des de du et est que qui dans pour pas plus avec jamais mais car en au aux sur se dès quand chaque comment pourquoi il nous selon nos entre ne déjà tout suffit".split()),
+    "es": frozenset("el los las una unos del y es que por para con no se su como más pero cuando cada donde entre desde hasta muy ya esta este todo".split()),
+    "it": frozenset("il lo gli una di del della dei delle e è che per con non si suo come più ma quando ogni dove tra fra nel nella alla dal sono questa questo".split()),
+    "pt": frozenset("o os as uma do da dos das e é que por para com não se seu como mais mas quando cada onde entre desde até muito já esta este são".split()),
+    "nl": frozenset("de het een van en is dat die voor met niet zijn op aan bij ook maar als elke wordt naar uit meer dan door wat hoe waarom wanneer tussen".split()),
 }
+# Scripts that tell the language, or the family that is compared as one.
+SCRIPTS = {"ko": "Hangul", "ru": "Cyrillic", "el": "Greek", "ar": "Arabic", "he": "Hebrew", "th": "Thai", "hi": "Devanagari"}
 # Names of the languages as requests use them.
 LANGUAGE_NAMES = {
     "en": r"english|englisch\w*|anglais\w*|英語",
     "de": r"german|deutsch\w*|allemand\w*|ドイツ語|独語",
     "fr": r"french|französisch\w*|français\w*|フランス語|仏語",
     "ja": r"japanese|japanisch\w*|japonais\w*|日本語",
+    "es": r"spanish|spanisch\w*|espagnol\w*|español|スペイン語",
+    "it": r"italian|italienisch\w*|italien\w*|italiano|イタリア語",
+    "pt": r"portuguese|portugiesisch\w*|portugais\w*|português|ポルトガル語",
+    "nl": r"dutch|niederländisch\w*|néerlandais\w*|nederlands|オランダ語",
+    "zh": r"chinese|chinesisch\w*|chinois\w*|中文|汉语|中国語",
+    "ko": r"korean|koreanisch\w*|coréen\w*|한국어|韓国語",
+    "ru": r"russian|russisch\w*|russe\w*|русск\w*|ロシア語",
 }
 _NAMES = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)" if k else v, re.I) for k, v in LANGUAGE_NAMES.items()}
-_JA_NAMES = {"en": "英語", "de": "ドイツ語", "fr": "フランス語", "ja": "日本語"}
-
-# Phrases by which an answer is declined.
-REFUSALS = re.compile(
-    r"\b(?:i(?:'m| am) (?:sorry|unable|not able|afraid)|sorry,|apolog|(?:can(?:no|')t|can not|won't be able to|not able to|unable to|must decline|decline to|rather not|not something i can|refuse to)\b.{0,40}\b(?:help|assist|answer|respond|comment|provide|discuss|comply|one|do|request)"
-    r"|(?:outside|beyond) (?:of )?what i(?:'m| am)|not be appropriate for me|guidelines prevent|as an (?:ai|assistant)\b"
-    r"|tut mir leid|leider nicht (?:beantworten|helfen)|nicht (?:dazu )?äußern|kann ich (?:ihnen |dir )?(?:leider )?nicht (?:helfen|beantworten)|darf ich (?:\w+ )?nicht|muss ich ablehnen|als (?:ki|assistent)"
-    r"|je (?:suis )?désolé|je ne (?:peux|puis|suis) (?:pas|malheureusement)|préfère ne pas|pas en mesure de|(?:je suis|suis-je) autorisé|je dois (?:décliner|refuser)|en tant qu'(?:assistant|ia))"
-    r"|申し訳(?:ありません|ございません)|恐れ入りますが|お答え(?:できません|いたしかねます)|お手伝い(?:できません|いたしかねます)|応じられません|いたしかねます|控えさせて|お断り",
-    re.I | re.S,
-)
+_JA_NAMES = {"en": "英語", "de": "ドイツ語", "fr": "フランス語", "ja": "日本語", "es": "スペイン語", "it": "イタリア語", "pt": "ポルトガル語", "nl": "オランダ語", "zh": "中国語", "ko": "韓国語", "ru": "ロシア語"}
+_SCRIPT = {code: regex.compile(rf"\p{{{name}}}") for code, name in SCRIPTS.items()}
+_LETTER_RUN = regex.compile(r"\p{L}+")
+
 # Instructions whose wanted answer declines something.
 WANTS_REFUSAL = re.compile(
     r"(?:declin|refus|reject|turn(?:s|ing)? down|say(?:s|ing)? no)\w* (?:a|an|the|this|any|une|un|la|le|cette)? ?(?:polite )?(?:request|offer|demande|requête|invitation)"
@@ -60,11 +67,17 @@ _ADDRESS = re.compile(r"(?:https?://\S+\.\S+|[\w.+-]+@[\w-]+\.[\w.]+)[/\w]$")
 
 
 def language(text: str) -> str:
-    """``ja``, ``en``, ``de`` or ``fr``, or '' where the words don't tell."""
+    """The code of a language, told by script or by frequent words, or '' where neither tells."""
     kana, cjk = len(_KANA.findall(text)), len(_CJK.findall(text))
     words = [w.lower() for w in _WORDS.findall(text) if not _CJK.search(w)]
     if cjk and (kana >= 3 or cjk >= 4) and cjk >= len(words):
-        return "ja"
+        # Without any kana a short text may still be Japanese.
+        return "ja" if kana else "zh" if cjk >= 12 else ""
+    if not text.isascii():
+        letters = sum(map(len, words))
+        for code, script in _SCRIPT.items():
+            if (n := len(script.findall(text))) >= 4 and 2 * n > letters:
+                return code
     score = {k: sum(w in f for w in words) for k, f in FUNCTION_WORDS.items()}
     score["de"] += sum(c in text for c in "äöüß") if score["de"] else 0
     order = sorted(score.values(), reverse=True)
@@ -79,6 +92,14 @@ def languages_asked(*texts: str | None) -> set[str]:
     return {k for k, p in _NAMES.items() if p.search(both) or _JA_NAMES[k] in both}
 
 
+def terms_of(text: str | None) -> set[str]:
+    """Words of a text, and pairs of neighbouring characters where words aren't set apart."""
+    out = set()
+    for word in _LETTER_RUN.findall((text or "").lower()):
+        out |= {word[i : i + 2] for i in range(max(1, len(word) - 1))} if _CJK.search(word) else {word}
+    return out
+
+
 def sentences(text: str) -> list[str]:
     return [s for s in (m.group().strip() for m in _SENTENCE.finditer(text)) if letters_and_digits(s)]
 
@@ -118,7 +139,7 @@ def copied_share(instruction: str | None, context: str | None, response: str) ->
 def opening(response: str) -> str:
     """The first sentence, reduced to letters and digits."""
     parts = sentences(response)
-    return letters_and_digits(unicodedata.normalize("NFKC", parts[0]))[:400] if parts else ""
+    return letters_and_digits(unicodedata.normalize("NFKC", parts[0])) if parts else ""
 
 
 def last_word(text: str) -> str:
@@ -134,6 +155,11 @@ def ending(response: str) -> tuple[str, str]:
     if text.endswith("```"):
         return "ended", ""
     last_line = text.splitlines()[-1] if text else ""
+    for left, right in ("()", "（）", "「」", "『』", "“”"):
+        if text.count(left) > text.count(right):
+            return "cut", ""
+    if text[-1:] in ",;:、，；：-–—":
+        return "cut", ""
     if item := _LIST.match(last_line):
         body = (item[1] or "").strip()
         if not letters_and_digits(body) or re.fullmatch(r"\d+[.)]", last_line.strip()):
@@ -144,11 +170,6 @@ def ending(response: str) -> tuple[str, str]:
         if others and not _CJK.search(body) and len(body.split()) < min(len(o.split()) for o in others):
             return "cut", ""
         return "open", "" if _CJK.search(body) else last_word(body)
-    for left, right in ("()", "（）", "「」", "『』", "“”"):
-        if text.count(left) > text.count(right):
-            return "cut", ""
-    if text[-1:] in ",;:、，；：-–—":
-        return "cut", ""
     if text.endswith((")", "）", "]", "」", "』")) or _ADDRESS.search(text):
         return "ended", ""
     if _ENDED.search(text):

@@ -3,8 +3,8 @@ import random
 import pytest
 
 from quillmesh.llm import neardup
-from quillmesh.operators.components import connected_components
 from quillmesh.llm.neardup import letters_and_digits, near_duplicate_groups, near_duplicate_pairs
+from quillmesh.operators.components import connected_components
 
 FIELDS = "id string, content string, key string, no long, reduced string"
 WORDS = "shard index graph schema buffer cursor window record parser router kernel queue memo token filter vector trace cache note edge".split()
@@ -50,12 +50,26 @@ def test_pairs_equal_brute_force(spark, seed):
     assert {tuple(r) for r in near_duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
 
 
-def test_pieces_of_a_band_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PIECE", 9)
-    rows = texts(5)
+@pytest.mark.parametrize("rows_a_piece", [9, 2])
+def test_pieces_and_blocks_lose_nothing(spark, monkeypatch, rows_a_piece):
+    monkeypatch.setattr(neardup, "PIECE_ROWS", rows_a_piece)
+    rows = texts(5, 30)
     assert {tuple(r) for r in near_duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("alone, paired", [(1, 4), (1, 1), (1000, 5000)])
+def test_any_choice_of_prefix_loses_nothing(spark, monkeypatch, alone, paired):
+    monkeypatch.setattr(neardup, "ALONE", alone)
+    monkeypatch.setattr(neardup, "PAIRED", paired)
+    rows = texts(6) + [(f"s{i}", w) for i, w in enumerate(["abcdef", "abcdefg", "abcdefgh", "abcdefghi", "bcdefghi", "xabcdefghi"])]
+    assert {tuple(r) for r in near_duplicate_pairs(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_share_has_a_least_value(spark):
+    with pytest.raises(ValueError):
+        near_duplicate_pairs(frame(spark, texts(1, 2)), share=0.5)
+
+
 def test_nulls_short_repeated_and_long(spark):
     long = " ".join(f"word{i}" for i in range(20000))
     rows = [("a", None), ("b", ""), ("c", "ab-c"), ("d", "ABC de"), ("d", "ABC  de"), ("e", "abcde!"), (None, "abcde"), ("f", long), ("g", long + " tail"), ("h", "日本語のテキスト"), ("i", "日本語の テキスト。")]
@@ -67,10 +81,12 @@ def test_empty_table(spark):
     assert near_duplicate_groups(frame(spark, [])).count() == 0
 
 
-def test_a_hot_group_is_linked_and_not_squared(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPAND", 16)
+def test_a_hot_group_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LISTED", 4)
     rows = [(f"x{i:02}", "the same text again") for i in range(20)] + [("y", "the same text agaim")]
     got = {tuple(r) for r in near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert got == brute(rows) and len(got) == 210
+    got = {tuple(r) for r in near_duplicate_pairs(frame(spark, rows), copies="representatives").collect()}
     assert got == {("x00", f"x{i:02}") for i in range(1, 20)} | {("x00", "y")}
 
 

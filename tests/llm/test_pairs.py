@@ -43,8 +43,24 @@ def test_unknown_refusal_is_found_by_its_template(spark, monkeypatch):
     rows = [(i, ASK.format(i), None, text + (" Thank you." if i % 2 else "")) for i in range(8)]
     rows += [(100 + i, ASK.format(i) + " And why?", None, "The note states what follows. " + LONG + LONG) for i in range(8)]
     assert found(spark, rows) == {i: "refusal" for i in range(8)}
-    # The same pair under many ids is one prompt, and no template.
-    assert found(spark, [(i, ASK.format(1), None, text) for i in range(8)]) == {}
+    # The same pair under many ids is one prompt, and no template; nor is an answer that takes up its prompt.
+    assert found(spark, [(i, ASK.format(1), None, "The parser of unit one reads every record.") for i in range(8)]) == {}
+    assert found(spark, [(i, ASK.format(i), None, "The parser of each unit reads a record.") for i in range(8)]) == {}
+
+
+def test_lone_refusal_is_told_by_its_words(spark):
+    full = [(10 + i, ASK.format(i), None, LONG + f"Unit {i} keeps its cache small.") for i in range(6)]
+    assert found(spark, full + [(1, ASK.format(9), None, "Regrettably nobody here may comment upon such matters.")]) == {1: "refusal"}
+    # The same length in words that answers use is none.
+    assert found(spark, full + [(1, ASK.format(9), None, "It keeps the cache warm before the writer closes the file.")]) == {}
+
+
+def test_openings_are_compared_whole(spark):
+    start = "This matter stays closed to remarks " + "and to every further question of the desk " * 12
+    rows = [(i, ASK.format(i), None, start + w + ".") for i, w in enumerate(("alpha " * 90, "omega " * 90))]
+    assert P.opening_templates is not None and len({r[3][:400] for r in rows}) == 1
+    looked = spark.createDataFrame([(i, r[3].lower().replace(" ", ""), 0, 0.0) for i, r in enumerate(rows)], "prompt long, opening string, more int, shared double")
+    assert {r["prompts"] for r in P.opening_templates(looked).collect()} == {1}
 
 
 def test_templates_join_near_variants(spark):
@@ -61,7 +77,7 @@ def test_very_long_text(spark):
     assert found(spark, [(1, ASK.format(1), None, LONG * 3000), (2, ASK.format(2), None, LONG * 3000 + "and then the")]) == {2: "truncated"}
 
 
-@pytest.mark.parametrize("text, code", [("the index is read by the parser", "en"), ("der Index ist nicht mit dem Puffer verbunden", "de"), ("le lot est avec les index de la table", "fr"), ("索引を更新する", "ja"), ("alpha beta + gamma", "")])
+@pytest.mark.parametrize("text, code", [("the index is read by the parser", "en"), ("der Index ist nicht mit dem Puffer verbunden", "de"), ("le lot est avec les index de la table", "fr"), ("索引を更新する", "ja"), ("alpha beta + gamma", ""), ("el lote no se guarda en los registros por ahora", "es"), ("il lotto non si trova nella tabella che è del nodo", "it"), ("индекс хранит запись", "ru"), ("索引更新记录缓存节点表格查询语句", "zh"), ("要約", "")])
 def test_language(text, code):
     assert language(text) == code
 
