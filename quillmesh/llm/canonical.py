@@ -28,6 +28,8 @@ FILLERS = frozenset(
 #: Words shorter than this are never repaired; words of LONG or more letters may have two edits, others one.
 SHORT, LONG = 4, 8
 MIN_SCORE = 0.7
+#: Words of more letters are compared by their fifths, since they have very many deletion variants.
+FIFTHS = 38
 
 _KANA = re.compile(r"[぀-ヿ㐀-鿿]")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]{2})")
@@ -71,6 +73,22 @@ def deletions(word: str, most: int) -> list[str]:
     return list(out)
 
 
+def fifths(word: str) -> list[str]:
+    """The five pieces of a word, with its length and their place.  Two edits, swaps across a border included, leave one piece whole."""
+    n = len(word)
+    return [f"{n} {i} {word[i * n // 5 : (i + 1) * n // 5]}" for i in range(5)]
+
+
+def fifths_met(word: str) -> list[str]:
+    """The fifths of any word within two edits that ``word`` may hold."""
+    out = set()
+    for n in range(len(word) - 2, len(word) + 3):
+        for i in range(5):
+            s, e = i * n // 5, (i + 1) * n // 5
+            out |= {f"{n} {i} {word[s + by : e + by]}" for by in range(-2, 3) if s + by >= 0}
+    return list(out)
+
+
 def edits_allowed(word: str) -> int:
     return 0 if len(word) < SHORT else 1 if len(word) < LONG else 2
 
@@ -119,11 +137,22 @@ def _entry_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["entry", "words", "kind"])
 
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for s in range(0, len(batch), 2000):
-            rows = [(w, v) for w in batch["word"][s : s + 2000] for v in deletions(w, edits_allowed(w) if len(w) <= 40 else min(1, edits_allowed(w)))]
-            yield pd.DataFrame(rows, columns=["word", "variant"])
+def _variants(listed: bool):
+    """Keys under which a typed word meets listed ones: shared deletion variants, or fifths of long words."""
+
+    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), 2000):
+                rows = []
+                for word in batch["word"][s : s + 2000]:
+                    # Words of neighbouring lengths have both, so that any two within two edits share a kind of key.
+                    if len(word) <= FIFTHS + 2:
+                        rows += [(word, v) for v in deletions(word, edits_allowed(word))]
+                    if len(word) > FIFTHS:
+                        rows += [(word, v) for v in (fifths(word) if listed else fifths_met(word))]
+                yield pd.DataFrame(rows, columns=["word", "variant"])
+
+    return variants
 
 
 def _closeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,9 +198,10 @@ def canonical_values(values: DataFrame, value: str, entries: DataFrame, entry: s
     same = tokens.select("token").distinct().join(vocabulary, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("similarity"))
     unknown = tokens.join(same.select("token"), "token", "left_anti")
     asked = unknown.where("not short").select(F.col("token").alias("word")).distinct().where(F.length("word") >= SHORT)
-    deleted = asked.mapInPandas(_variants, "word string, variant string").withColumnRenamed("word", "token")
-    known = vocabulary.where(F.length("word") >= SHORT).mapInPandas(_variants, "word string, variant string")
-    near = deleted.join(known, "variant").select("token", "word").distinct().mapInPandas(_closeness, "token string, word string, similarity double")
+    deleted = asked.mapInPandas(_variants(False), "word string, variant string").withColumnRenamed("word", "token")
+    known = vocabulary.where(F.length("word") >= SHORT).mapInPandas(_variants(True), "word string, variant string")
+    # Two edits make four at most where swaps count twice; only what stays below is looked at for swaps.
+    near = deleted.join(known, "variant").select("token", "word").distinct().where(F.levenshtein("token", "word", 4) >= 0).mapInPandas(_closeness, "token string, word string, similarity double")
     starts = vocabulary.where(F.length("word") > 3).withColumn("start", F.explode(F.expr("transform(sequence(3, length(word) - 1), n -> left(word, n))")))
     cut_short = unknown.where("short").join(starts, F.col("token") == F.col("start")).select("token", "word", F.lit(0.95).alias("similarity")).distinct()
     plural = unknown.where(F.col("token").rlike("^.{2,8}s$")).join(vocabulary, F.expr("left(token, length(token) - 1)") == F.col("word")).select("token", "word", F.lit(0.98).alias("similarity")).distinct()

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longest piece of a record that is handled as one array.
@@ -128,11 +128,16 @@ def cooccurrence(df: DataFrame, record: str, item: str, min_together: int = 1, b
     kept = members
     if min_together > 1:
         kept = members.join(sizes.where(F.col("n_item") >= min_together).select("item"), "item", "left_semi")
-    numbered = kept.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("record").orderBy("item")) - 1) / block).cast("int"))
-    blocks = numbered.groupBy("record", "block").agg(F.sort_array(F.collect_list("item")).alias("left"))
-    alone = blocks.where(F.size("left") > 1).select("left", F.lit(None).cast("array<string>").alias("right"))
-    later = blocks.where("block > 0").select("record", F.col("block").alias("other"), F.col("left").alias("right"))
-    across = blocks.join(later, "record").where("block < other").select("left", "right")
+    # Only records longer than a block are cut; their items are dealt by hash, so no task orders a record.
+    long = kept.groupBy("record").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = kept.join(long, "record", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    blocks = dealt.groupBy("record", "block", "blocks").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    alone = blocks.where(F.size("items") > 1).select(F.col("items").alias("left"), F.lit(None).cast("array<string>").alias("right"))
+    # Each two blocks of a record meet under a key of their own.
+    two = blocks.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    two = two.groupBy("record", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    across = two.agg(F.first(F.when(F.col("block") < F.col("other"), F.col("items")), True).alias("left"), F.first(F.when(F.col("block") > F.col("other"), F.col("items")), True).alias("right"))
+    across = across.where("left is not null and right is not null").select("left", "right")
     stripes = alone.unionByName(across).mapInPandas(_local_stripes, "item string, beside array<string>, n array<bigint>")
     entries = stripes.select("item", F.explode(F.arrays_zip("beside", "n")).alias("e")).select("item", F.col("e.beside").alias("beside"), F.col("e.n").alias("n"))
     pairs = entries.groupBy("item", "beside").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_together)

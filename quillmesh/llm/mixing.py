@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import DEFAULT_FOLDER, encoding
+from quillmesh.llm.tokens import DEFAULT_FOLDER, VOCABULARY, encoding, ship_vocabulary
 from quillmesh.session import cut
 
-#: Parts of a set that are summed up first, so that no task orders a whole set.
-PARTS = 256
+#: Texts of a part; the parts of a set are summed up first, so that no task orders a whole set.
+PART_TEXTS = 50_000
+#: The most sources that may have a target; more raise an error.
+TARGETS = 10_000
 
 
 class Flow:
@@ -126,17 +128,17 @@ def largest_mix(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str, f
     return route(patterns, quotas(low), uses)[0], quotas(low)
 
 
-def _sized(folder: str):
+def _sized(folder: str, vocabulary: str):
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens = [len(encoding(folder).encode_ordinary(t)) if t and not t.isspace() else 0 for t in batch["text"]]
+            tokens = [len(encoding(folder, vocabulary).encode_ordinary(t)) if t and not t.isspace() else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "text_key": batch["text_key"], "tokens": tokens})
 
     return sized
 
 
 def mix_sources(
-    documents: DataFrame, targets: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizers: str = DEFAULT_FOLDER
+    documents: DataFrame, targets: DataFrame, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizers: str = DEFAULT_FOLDER, vocabulary: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
     """A selection ``doc_id, source, use_no, tokens`` and a report ``source, target_share, actual_share, tokens, texts, most_uses``.
 
@@ -155,19 +157,22 @@ def mix_sources(
 
     listed = [
         (r["source"], float(r["target_share"]), int(r["max_repeats"]))
-        for r in targets.select(name("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0").limit(10_000).collect()
+        for r in targets.select(name("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0").limit(TARGETS + 1).collect()
     ]
+    if len(listed) > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
+    ship_vocabulary(spark, tokenizers, vocabulary)
     uses = {s: max(1, n) for s, _, n in listed}
     wanted = spark.createDataFrame([(s,) for s in uses], "source string")
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), name(source).alias("source"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = rows.join(F.broadcast(wanted), "source").select("doc_id", "source", F.sha2("text", 256).alias("text_key"), "text")
-    sized = cut(rows.mapInPandas(_sized(tokenizers), "doc_id long, source string, text_key string, tokens int").where("tokens > 0"))
+    sized = cut(rows.mapInPandas(_sized(tokenizers, vocabulary), "doc_id long, source string, text_key string, tokens int").where("tokens > 0"))
     # One row per text and source first, then one per text: a text copied a million times stays a short row.
     held = sized.groupBy("text_key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     texts = held.groupBy("text_key").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("copies"))
     texts = cut(texts.withColumn("pattern", F.concat_ws("\n", F.transform("copies", lambda c: c.source))))
-    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).orderBy("pattern")
-    patterns = [(tuple(r["pattern"].split("\n")), int(r["tokens"])) for r in sums.collect()]
+    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).orderBy("pattern").collect()
+    patterns = [(tuple(r["pattern"].split("\n")), int(r["tokens"])) for r in sums]
     present = {s for sources, _ in patterns for s in sources}
     scale = sum(share for s, share, _ in listed if s in present)
     shares = {s: share / scale for s, share, _ in listed if s in present}
@@ -177,18 +182,18 @@ def mix_sources(
         at = 0
         for s in sources:
             if amount := given.get((p, s), 0):
-                plan.append(("\n".join(sources), tokens, s, at, at + amount))
+                plan.append(("\n".join(sources), tokens, -(-sums[p]["n"] // PART_TEXTS), s, at, at + amount))
                 at += amount
     # The plan has at most a row for each set and each of its sources.
-    plans = spark.createDataFrame(plan, "pattern string, whole long, source string, low long, high long")
-    reach = plans.groupBy("pattern").agg(F.max("whole").alias("whole"), F.max("high").alias("reach"), F.collect_list(F.struct("low", "high", "source")).alias("stretches"))
+    plans = spark.createDataFrame(plan, "pattern string, whole long, parts int, source string, low long, high long")
+    reach = plans.groupBy("pattern").agg(F.max("whole").alias("whole"), F.max("parts").alias("parts"), F.max("high").alias("reach"), F.collect_list(F.struct("low", "high", "source")).alias("stretches"))
 
     # Running sums in seeded order: over parts of a set first, then inside each part.
-    ordered = texts.withColumn("seeded", F.xxhash64(F.lit(seed), "text_key")).withColumn("part", F.pmod(F.shiftrightunsigned("seeded", 20), F.lit(PARTS)).cast("int"))
+    ordered = texts.join(reach, "pattern").withColumn("seeded", F.xxhash64(F.lit(seed), "text_key")).withColumn("part", F.pmod(F.shiftrightunsigned("seeded", 20), F.col("parts")).cast("int"))
     parts = ordered.groupBy("pattern", "part").agg(F.sum("tokens").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("part")) - F.col("n")).select("pattern", "part", "before")
     inside = Window.partitionBy("pattern", "part").orderBy("seeded", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ordered.withColumn("up_to", F.sum("tokens").over(inside)).join(before, ["pattern", "part"]).join(reach, "pattern")
+    placed = ordered.withColumn("up_to", F.sum("tokens").over(inside)).join(before, ["pattern", "part"])
     placed = placed.withColumn("start", F.col("before") + F.col("up_to") - F.col("tokens"))
     # A text is taken where its middle lies inside a stretch, so the cuts err by half a text either way.
     passes = placed.withColumn("use_no", F.explode(F.sequence(F.lit(1), F.ceil(F.col("reach") / F.col("whole")).cast("int")))).withColumn(

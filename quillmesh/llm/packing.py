@@ -1,43 +1,39 @@
 """Filling fixed-capacity containers with texts by lexical retrieval.
 
-The largest text left becomes a seed; BM25 over all unused texts of the
-collection returns those most like it, and they fill its container in that
-order as long as they fit.  What remains open when no text that shares a term
-fits is closed with the largest texts that still fit, so that little room is
-lost.
-
-Seeds ask in rounds: a bounded batch of them goes to every task, each task
-scores all of its texts for all of them, and the best of all tasks are taken
-in the order of the seeds.  A seed whose list was too short asks again in the
-next round.  The last texts, no more than a task holds, are packed one seed
-after another over one index.
+The largest text left becomes a seed; BM25 over the unused texts returns those
+most like it, and they fill its container in that order as long as they fit.
+What remains open when no text that shares a term fits is closed with the
+largest texts that still fit, so that little room is lost.
+
+The inverted index is sharded by content: a tree of halves, fitted on a bounded
+sample of the texts' term vectors, sends texts that share terms to the same
+shard, so that a seed finds its neighbours there.  All texts are indexed, term
+statistics are those of the whole collection, and a seed asks with all of its
+terms.  Work and shuffle follow the number of texts.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.tokens import DEFAULT_FOLDER, encoding
+from quillmesh.llm.tokens import DEFAULT_FOLDER, VOCABULARY, encoding, ship_vocabulary
 from quillmesh.session import cut
 
-#: Texts that one index packs at the end, rows that a round's lists hold in all, and the most seeds of a round.
+#: Texts a shard aims at; larger ones are cut by hash.
 SHARD_TEXTS = 3000
-LIST_ROWS = 1 << 19
-ROUND_SEEDS = 1 << 12
-#: Texts and seeds that are scored at once.
-BLOCK_TEXTS, BLOCK_SEEDS = 4096, 1024
+#: Texts of the sample that shards are fitted on (all texts are indexed), and those a shard needs of them at least.
+SAMPLE_TEXTS, SAMPLE_SHARD = 16_384, 8
+#: Counters of the term statistics, and length of the vectors that shards are fitted on.
+COUNTERS, WIDTH = 1 << 20, 256
 K1, B = 1.2, 0.75
-#: Codes of terms lie below this.
-BUCKETS = 1 << 63
 
 _TERM = re.compile(r"[^\W\d_]{3,}|[぀-ヿ㐀-鿿]{2}")
 
@@ -79,40 +75,12 @@ class Index:
         self.codes, starts = np.unique(term[order], return_index=True)
         self.starts = np.append(starts, len(term))
 
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """The score of every text for every query, each of distinct terms."""
-        out = np.zeros((len(queries), self.n), dtype=np.float32)
-        if not len(self.codes):
-            return out
-        asker = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-        asked = np.concatenate(queries) if len(queries) else np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
-        met = self.codes[at] == asked
-        asker, at = asker[met], at[met]
-        held = np.diff(self.starts)
-        # Frequent terms by one product of matrices, the others posting by posting.
-        often = np.flatnonzero((held * 32 > self.n) & (np.bincount(at, minlength=len(held)) * 32 > len(queries)))
-        place = np.full(len(held), -1)
-        place[often] = np.arange(len(often))
-        if len(often):
-            left = np.zeros((len(queries), len(often)), dtype=np.float32)
-            dense = place[at] >= 0
-            left[asker[dense], place[at[dense]]] = 1
-            right = np.zeros((len(often), self.n), dtype=np.float32)
-            of = np.repeat(place, held)
-            right[of[of >= 0], self.owner[of >= 0]] = self.weight[of >= 0]
-            out += left @ right
-            asker, at = asker[~dense], at[~dense]
-        size = held[at]
-        ends = np.cumsum(size)
-        for low in range(0, len(at), 1 << 14):
-            high = min(low + (1 << 14), len(at))
-            n = size[low:high]
-            posting = np.arange(n.sum()) - np.repeat(ends[low:high] - n - (ends[low - 1] if low else 0), n) + np.repeat(self.starts[at[low:high]], n)
-            first, last = asker[low], asker[high - 1] + 1
-            cell = np.repeat(asker[low:high] - first, n) * self.n + self.owner[posting]
-            out[first:last] += np.bincount(cell, weights=self.weight[posting], minlength=(last - first) * self.n).reshape(last - first, self.n)
-        return out
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """The score of every text for a query of distinct terms, all of which are in the index."""
+        at = np.searchsorted(self.codes, query)
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        postings = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        return np.bincount(self.owner[postings], weights=self.weight[postings], minlength=self.n)
 
 
 def close(room: int, rising: list[tuple[int, int]]) -> list[int]:
@@ -125,9 +93,11 @@ def close(room: int, rising: list[tuple[int, int]]) -> list[int]:
     return taken
 
 
-def fill(sizes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], capacity: int) -> np.ndarray:
-    """The container of each text, from sizes in falling order; no size exceeds the capacity."""
-    index = Index(terms, weights)
+def fill(sizes: np.ndarray, terms: list[np.ndarray], index: Index, numbers: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each text, from sizes in falling order; no size exceeds the capacity.
+
+    ``numbers`` are those of the texts in ``index``, which may hold others.
+    """
     container = np.full(len(sizes), -1, dtype=np.int64)
     # Sizes of the unused texts in rising order, with their numbers, for closing what stays open.
     rising = [(int(s), i) for i, s in sorted(enumerate(sizes), key=lambda x: (x[1], x[0]))]
@@ -143,7 +113,7 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray],
         use(seed, number)
         room = capacity - int(sizes[seed])
         if rising and room >= rising[0][0]:
-            score = index.scores([terms[seed]])[0]
+            score = index.scores(terms[seed])[numbers]
             score[(container >= 0) | (sizes > room)] = 0
             hits = np.flatnonzero(score)
             for i in hits[np.argsort(-score[hits], kind="stable")]:
@@ -157,12 +127,12 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray],
     return container
 
 
-def _measure(folder: str):
+def _measure(folder: str, vocabulary: str):
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                size = len(encoding(folder).encode_ordinary(text)) if text and not text.isspace() else 0
+                size = len(encoding(folder, vocabulary).encode_ordinary(text)) if text and not text.isspace() else 0
                 if size:
                     terms, counts = term_counts(text)
                     rows.append((doc_id, size, int(counts.sum()), terms, counts))
@@ -171,139 +141,159 @@ def _measure(folder: str):
     return measure
 
 
-def _hits(shared, most: int):
-    """The best texts of a task for every seed: of all that fit, and of those that take an eighth of the room or less."""
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            kept.append(batch)
-            if sum(map(len, kept)) >= BLOCK_TEXTS:
-                yield pd.concat(kept)
-                kept = []
-        if kept:
-            yield pd.concat(kept)
-
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, rooms, queries = shared.value
-        best = {part: (np.zeros((len(seeds), 0), np.float32), np.zeros((len(seeds), 0), np.int64), np.zeros((len(seeds), 0), np.int32)) for part in (1, 8)}
-        for block in blocks(batches):
-            ids, sizes = block["doc_id"].to_numpy(), block["tokens"].to_numpy().astype(np.int32)
-            index = Index(list(block["terms"]), list(block["weights"]))
-            found: dict[int, list] = {1: [], 8: []}
-            for low in range(0, len(seeds), BLOCK_SEEDS):
-                some = slice(low, low + BLOCK_SEEDS)
-                score = index.scores(queries[some])
-                score[ids[None, :] == seeds[some, None]] = 0
-                for part in found:
-                    score[sizes[None, :] * part > rooms[some, None]] = 0
-                    at = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
-                    found[part].append((np.take_along_axis(score, at, 1), ids[at], sizes[at]))
-            for part, lists in found.items():
-                whole = [np.concatenate([old, np.concatenate(new)], axis=1) for old, new in zip(best[part], zip(*lists))]
-                at = np.argsort(-whole[0], axis=1, kind="stable")[:, :most]
-                best[part] = tuple(np.take_along_axis(x, at, 1) for x in whole)
-        for part, (score, ids, sizes) in best.items():
-            seed, at = np.nonzero(score)
-            for low in range(0, len(seed), 1 << 16):
-                s, a = seed[low : low + (1 << 16)], at[low : low + (1 << 16)]
-                yield pd.DataFrame({"part": part, "seed": s, "score": score[s, a], "doc_id": ids[s, a], "size": sizes[s, a]})
-
-    return hits
-
-
-def _weighted(measured: DataFrame, capacity: int) -> DataFrame:
-    """``doc_id, tokens, terms, weights``: the rest to be packed, and the BM25 weights of the terms that other texts have too."""
-    whole = measured.agg(F.count("*").alias("n"), F.avg("words").alias("average")).first()
-    items = measured.withColumn("tokens", F.col("tokens") % capacity).where("tokens > 0")
-    postings = measured.select("doc_id", "words", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("doc_id", "words", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
-    idf = F.log1p((F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.lit(max(whole["average"] or 0.0, 1.0))))
-    held = postings.join(frequency, "term").select("doc_id", F.struct("term", weight.cast("float").alias("weight")).alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    nothing = (F.array().cast("array<long>"), F.array().cast("array<float>"))
-    return items.select("doc_id", "tokens").join(held, "doc_id", "left").select("doc_id", "tokens", F.coalesce("p.term", nothing[0]).alias("terms"), F.coalesce("p.weight", nothing[1]).alias("weights"))
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        if len(batch):
+            total += np.bincount(np.concatenate(list(batch["terms"])) & (COUNTERS - 1), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    for s in range(0, len(at), 65_536):
+        yield pd.DataFrame({"at": at[s : s + 65_536], "n": total[at[s : s + 65_536]]})
+
+
+def vectors_of(terms: Sequence[np.ndarray], weights: Sequence[np.ndarray]) -> np.ndarray:
+    """Unit vectors of texts: their weighted terms, dealt to ``WIDTH`` places with a sign."""
+    out = np.zeros((len(terms), WIDTH), dtype=np.float32)
+    for row, t, w in zip(out, terms, weights):
+        row += np.bincount((t >> 20) & (WIDTH - 1), weights=np.where((t >> 40) & 1, w, -w), minlength=WIDTH)
+    return out / np.maximum(1e-9, np.sqrt((out * out).sum(axis=1, keepdims=True)))
+
+
+def halve(x: np.ndarray, leaves: int, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple]]:
+    """A tree that parts ``x`` into about equal leaves: directions, and nodes ``(border, below, above)``; a child below zero is leaf ``-1 - child``."""
+    directions: list[np.ndarray] = []
+    nodes: list[tuple] = []
+    made = 0
+
+    def grow(rows: np.ndarray, parts: int) -> int:
+        nonlocal made
+        if parts < 2 or len(rows) < 2:
+            made += 1
+            return -made
+        start = x[rng.choice(rows)]
+        centres = np.stack([start, x[rows[np.argmin(x[rows] @ start)]]])
+        for _ in range(5):
+            side = (x[rows] @ (centres[1] - centres[0])) > ((centres[1] ** 2).sum() - (centres[0] ** 2).sum()) / 2
+            if side.all() or not side.any():
+                break
+            centres = np.stack([x[rows[~side]].mean(axis=0), x[rows[side]].mean(axis=0)])
+        # Where the two centres tell one small group from all others, any direction parts the groups better.
+        for direction in (centres[1] - centres[0], rng.normal(size=x.shape[1])):
+            direction = direction.astype(np.float32)
+            seen = x[rows] @ direction
+            values = np.unique(seen)
+            if len(values) < 2:
+                continue
+            # Texts that look alike stay together, so the sides may differ in size, and get leaves in proportion.
+            border = float(min(np.quantile(seen, 0.5), values[-2]))
+            low = seen <= border
+            if 0.25 <= low.mean() <= 0.75:
+                break
+        if len(values) < 2:
+            made += 1
+            return -made
+        share = min(parts - 1, max(1, round(parts * float(low.mean()))))
+        at = len(nodes)
+        directions.append(direction)
+        nodes.append((border, 0, 0))
+        nodes[at] = (border, grow(rows[low], share), grow(rows[~low], parts - share))
+        return at
+
+    grow(np.arange(len(x)), leaves)
+    return np.array(directions, dtype=np.float32).reshape(len(directions), x.shape[1]), nodes
+
+
+def shard_of(x: np.ndarray, directions: np.ndarray, nodes: list[tuple]) -> np.ndarray:
+    """The leaf of each row."""
+    out = np.zeros(len(x), dtype=np.int32)
+    seen = x @ directions.T
+    todo = [(0, np.arange(len(x)))] if nodes else []
+    while todo:
+        at, rows = todo.pop()
+        if at < 0:
+            out[rows] = -1 - at
+            continue
+        border, below, above = nodes[at]
+        low = seen[rows, at] <= border
+        todo += [(below, rows[low]), (above, rows[~low])]
+    return out
 
 
-def pack_containers(documents: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", tokenizers: str = DEFAULT_FOLDER) -> DataFrame:
-    """Assignment ``doc_id, piece, first_token, tokens, container, capacity`` of every text that has tokens.
+def pack_containers(documents: DataFrame, capacity: int | Sequence[int], doc_id: str = "doc_id", text: str = "text", tokenizers: str = DEFAULT_FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Assignment ``doc_id, piece, first_token, tokens, container, capacity`` of every text that has tokens, for one capacity or each of several.
 
     A text larger than ``capacity`` is cut into full pieces, which are
     containers of their own, and a rest, which is packed like a text; every
     other text stays whole.  Null and blank texts have no tokens and no
     container; rows without an id are left out; equal texts under several ids
-    are packed each.  Containers are named ``round-number``.
+    are packed each.  Containers are named ``capacity-shard.part-number``.
     """
-    if capacity < 1:
+    capacities = sorted({int(c) for c in ([capacity] if isinstance(capacity, int) else capacity)})
+    if not capacities or capacities[0] < 1:
         raise ValueError("capacity must be positive")
     spark = documents.sparkSession
+    ship_vocabulary(spark, tokenizers, vocabulary)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    measured = cut(rows.mapInPandas(_measure(tokenizers), "doc_id long, tokens int, words long, terms array<long>, counts array<int>"))
-    unused = cut(_weighted(measured, capacity))
-    fields = "doc_id long, container string"
-    placed = spark.createDataFrame([], fields)
-    # Containers that ask again, as (name, room, terms), with what they hold; a round's lists bound their number.
-    waiting: list[tuple[str, int, np.ndarray]] = []
-    number = 0
-    while True:
-        left = unused.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
-        n, tokens = left["n"], left["tokens"]
-        if n <= SHARD_TEXTS and not waiting or not n:
-            break
-        least = math.ceil(tokens / capacity)
-        most = max(8, min(n, math.ceil(1.5 * n / least), LIST_ROWS))
-        wanted = max(0, max(1, min(ROUND_SEEDS, LIST_ROWS // most, math.ceil(least / 2))) - len(waiting)) if n > SHARD_TEXTS else 0
-        fresh = unused.orderBy(F.desc("tokens"), "doc_id").limit(wanted).select("doc_id", "tokens", "terms").toPandas() if wanted else None
-        number += 1
-        seeds = [(None, *w) for w in waiting]
-        if fresh is not None:
-            seeds += [(int(d), f"{number}-{i}", capacity - int(t), np.asarray(terms)) for i, (d, t, terms) in enumerate(zip(fresh["doc_id"], fresh["tokens"], fresh["terms"]))]
-        shared = spark.sparkContext.broadcast((np.array([-1 if s[0] is None else s[0] for s in seeds]), np.array([s[2] for s in seeds]), [s[3] for s in seeds]))
-        hits = unused.mapInPandas(_hits(shared, most), "part int, seed int, score float, doc_id long, size int")
-        order = Window.partitionBy("part", "seed").orderBy(F.desc("score"), "doc_id")
-        lists = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).toPandas().sort_values(["seed", "part", "place"])
-        shared.unpersist()
-        starts = np.searchsorted(lists["seed"].to_numpy(), np.arange(len(seeds) + 1))
-        ids, sizes, parts = (lists[c].to_numpy() for c in ("doc_id", "size", "part"))
-        used: dict[int, str] = {}
-        waiting, open_ = [], []
-        for i, (own, name, room, terms) in enumerate(seeds):
-            if own is not None:
-                # A larger seed has taken this one.
-                if own in used:
-                    continue
-                used[own] = name
-            here = slice(starts[i], starts[i + 1])
-            for d, size in zip(ids[here].tolist(), sizes[here].tolist()):
-                if size <= room and d not in used:
-                    used[d] = name
-                    room -= size
-            # Full lists may have left out a text that fits.
-            full = max((parts[here] == 1).sum(), (parts[here] == 8).sum()) >= most
-            if room and full:
-                waiting.append((name, room, terms))
-            elif room:
-                open_.append((name, room))
-        now = cut(spark.createDataFrame(list(used.items()), fields)) if used else placed.limit(0)
-        rest = unused.join(F.broadcast(now.select("doc_id")), "doc_id", "left_anti") if used else unused
-        if open_:
-            # No text that fits shares a term with these; sizes alone close them, out of a bounded sample.
-            rising = sorted((r["tokens"], r["doc_id"]) for r in rest.select("tokens", "doc_id").orderBy(F.xxhash64("doc_id")).limit(max(ROUND_SEEDS, 2 * most)).collect())
-            closed = [(d, name) for name, room in open_ for d in close(room, rising)]
-            if closed:
-                now = cut(now.unionByName(spark.createDataFrame(closed, fields)))
-                rest = unused.join(F.broadcast(now.select("doc_id")), "doc_id", "left_anti")
-        smallest = rest.agg(F.min("tokens")).first()[0] or capacity + 1
-        waiting = [w for w in waiting if w[1] >= smallest]
-        placed = placed.unionByName(now)
-        unused = cut(rest)
-    # What one index holds is packed one seed after another.
-    last = unused.toPandas().sort_values(["tokens", "doc_id"], ascending=[False, True])
-    container = fill(last["tokens"].to_numpy(), list(last["terms"]), list(last["weights"]), capacity)
-    names = [(int(d), f"0-{c}") for d, c in zip(last["doc_id"], container)]
-    placed = placed.unionByName(spark.createDataFrame(names, fields)) if names else placed
-    full = F.floor(F.col("tokens") / capacity).cast("int")
-    rests = measured.join(placed, "doc_id").select("doc_id", full.alias("piece"), (full * capacity).alias("first_token"), (F.col("tokens") % capacity).alias("tokens"), "container")
-    pieces = measured.where(full > 0).select("doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.lit(capacity).alias("tokens"), F.concat(F.lit("full-"), "doc_id", F.lit("."), "piece").alias("container"))
-    return rests.unionByName(pieces).withColumn("capacity", F.lit(capacity))
+    measured = cut(rows.mapInPandas(_measure(tokenizers, vocabulary), "doc_id long, tokens int, words long, terms array<long>, counts array<int>"))
+    whole = measured.agg(F.count("*").alias("n"), F.avg("words").alias("average")).first()
+    n, average = whole["n"], max(whole["average"] or 0.0, 1.0)
+    # Sizes that don't grow: counters of terms, vectors of a sample, borders of shards.
+    counted = measured.select("terms").mapInPandas(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(COUNTERS)
+    frequency[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    rarity = spark.sparkContext.broadcast(np.where(frequency > 1, np.log1p((n - frequency + 0.5) / (frequency + 0.5)), 0).astype(np.float32))
+
+    def weighted(batch: pd.DataFrame) -> list[np.ndarray]:
+        return [
+            rarity.value[t & (COUNTERS - 1)] * c * (K1 + 1) / (c + K1 * (1 - B + B * words / average))
+            for t, c, words in zip(batch["terms"], batch["counts"], batch["words"])
+        ]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "vector": list(vectors_of(list(batch["terms"]), weighted(batch)))})
+
+    shards = max(1, round(n / SHARD_TEXTS))
+    directions, nodes = np.zeros((0, WIDTH), np.float32), []
+    if shards > 1:
+        # A hash decides who is in the sample, so its size is about SAMPLE_TEXTS however many texts there are.
+        chance = min(1.0, SAMPLE_TEXTS / n)
+        sampled = measured.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(chance * (1 << 30))).limit(2 * SAMPLE_TEXTS)
+        sample = sampled.mapInPandas(look, "doc_id long, vector array<float>").toPandas().sort_values("doc_id")
+        x = np.array(list(sample["vector"]), dtype=np.float32)
+        directions, nodes = halve(x, max(1, min(shards, len(x) // SAMPLE_SHARD)), np.random.default_rng(11))
+    tree = spark.sparkContext.broadcast((directions, nodes))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            weights = weighted(batch)
+            shard = shard_of(vectors_of(list(batch["terms"]), weights), *tree.value)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": batch["tokens"], "shard": shard, "terms": batch["terms"], "weights": weights})
+
+    placed = measured.mapInPandas(place, "doc_id long, tokens int, shard int, terms array<long>, weights array<float>")
+    # Many texts may be alike; their shard is cut into parts of bounded size.
+    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD_TEXTS)).cast("int").alias("parts")).where("parts > 1")
+    placed = placed.join(cut(parts), "shard", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        terms = list(rows["terms"])
+        index = Index(terms, list(rows["weights"]))
+        ids, tokens, out = rows["doc_id"].to_numpy(), rows["tokens"].to_numpy(), []
+        name = f"{rows['shard'].iloc[0]}.{rows['part'].iloc[0]}"
+        for size in capacities:
+            rest = tokens % size
+            numbers = np.lexsort((ids, -rest))
+            numbers = numbers[rest[numbers] > 0]
+            container = fill(rest[numbers], [terms[i] for i in numbers], index, numbers, size)
+            piece = tokens[numbers] // size
+            names = [f"{size}-{name}-{c}" for c in container]
+            out.append(pd.DataFrame({"doc_id": ids[numbers], "piece": piece, "first_token": piece * size, "tokens": rest[numbers], "container": names, "capacity": size}))
+        return pd.concat(out)
+
+    fields = "doc_id long, piece int, first_token int, tokens int, container string, capacity int"
+    rests = placed.groupBy("shard", "part").applyInPandas(pack, fields)
+    full = measured.select("doc_id", "tokens", F.explode(F.array(*map(F.lit, capacities))).alias("capacity")).where("tokens >= capacity")
+    pieces = full.select("doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.floor(F.col("tokens") / F.col("capacity")).cast("int") - 1)).alias("piece"))
+    name = F.concat("capacity", F.lit("-full-"), "doc_id", F.lit("."), "piece")
+    pieces = pieces.select("doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("tokens"), name.alias("container"), "capacity")
+    return rests.unionByName(pieces)

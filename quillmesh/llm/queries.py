@@ -15,8 +15,8 @@ from quillmesh.llm.pii import find_pii, replace_pii
 from quillmesh.llm.vptree import nearest, similar_pairs, usable_vectors
 from quillmesh.session import table
 
-#: The container that ``p6_containers`` fills, by its name in ``container_specs``.
-CONTAINER = "default"
+#: Kinds of containers that ``p6_containers`` fills at most.
+SPECIFICATIONS = 100
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -69,9 +69,11 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, root: str) -> DataFrame:
-    """Every text in a container of the default specification."""
-    (spec,) = table(spark, root, "container_specs").where(F.col("spec_name") == CONTAINER).select("capacity_tokens").limit(1).collect()
-    return pack_containers(table(spark, root, "documents"), int(spec["capacity_tokens"]))
+    """Every text in containers of each specification."""
+    specs = table(spark, root, "container_specs").select("capacity_tokens").where("capacity_tokens > 0").distinct().limit(SPECIFICATIONS + 1).collect()
+    if len(specs) > SPECIFICATIONS:
+        raise ValueError(f"more than {SPECIFICATIONS} specifications")
+    return pack_containers(table(spark, root, "documents"), [int(s["capacity_tokens"]) for s in specs])
 
 
 def p7_selection(spark: SparkSession, root: str) -> DataFrame:

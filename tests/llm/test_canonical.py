@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quillmesh.llm.canonical import canonical_values, edit_distance, map_mentions, tokens_of
@@ -39,6 +41,27 @@ def test_empty_tables(spark, entries):
     assert [(r["entry"], r["how"]) for r in got] == [(None, "unmatched")]
 
 
+def test_long_words_keep_both_edits(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(36, 72, 2)]
+    typed = {}
+    for word in words:
+        for _ in range(6):
+            w = list(word)
+            for _ in range(2):
+                i = rng.randrange(1, len(w) - 1)
+                match rng.randrange(4):
+                    case 0: w[i] = "z"
+                    case 1: del w[i]
+                    case 2: w.insert(i, "z")
+                    case 3: w[i], w[i + 1] = w[i + 1], w[i]
+            if edit_distance("".join(w), word) in (1, 2):
+                typed["".join(w)] = word
+    entries = spark.createDataFrame([(w, None) for w in words], "concept_id string, label string")
+    got = {r["raw"]: r["entry"] for r in canonical_values(spark.createDataFrame([(t,) for t in typed], "raw_label string"), "raw_label", entries, "concept_id", "label").collect()}
+    assert got == typed and len(typed) > 60
+
+
 def test_small_helpers():
     assert edit_distance("spetcral", "spectral") == 1 and edit_distance("abc", "") == 3 and edit_distance("kitten", "sitting") == 3
     assert tokens_of("provena. columnar") == [("provena", True), ("columnar", False)] and tokens_of("") == []

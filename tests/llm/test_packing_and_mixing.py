@@ -63,10 +63,38 @@ def test_nulls_blanks_equal_texts_and_empty(spark):
         packed(spark, [], 0)
 
 
-def test_term_buckets_are_the_same_everywhere():
+def test_terms_are_the_same_everywhere_and_whole():
     terms, counts = packing.term_counts("Shard shard index 日本語")
-    assert counts.sum() == 4 and len(terms) == len(counts) and (np.diff(terms.astype(int)) > 0).all()
-    assert packing.hash_word("shard") == 4 or packing.hash_word("shard") < packing.BUCKETS
+    assert counts.sum() == 4 and len(terms) == len(counts) and (np.diff(terms) > 0).all() and (terms >= 0).all()
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert packing.hash_word(long + "skapitän") != packing.hash_word(long + "sverband")
+
+
+def test_several_capacities_at_once(spark):
+    rows = made(60, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack_containers(df, [100, 400]).collect()
+    sizes = {i: count_tokens(t) for i, t in rows}
+    for capacity in (100, 400):
+        mine = [r for r in got if r["capacity"] == capacity]
+        held = {}
+        for r in mine:
+            held[r["container"]] = held.get(r["container"], 0) + r["tokens"]
+        assert sum(held.values()) == sum(sizes.values()) and max(held.values()) <= capacity
+
+
+def test_a_hot_text_is_packed_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TEXTS", 10)
+    rows = [(i, "shard index graph schema buffer") for i in range(90)] + [(100 + i, t) for i, t in made(60, 5)]
+    got = packed(spark, rows)
+    assert sorted({r["doc_id"] for r in got}) == sorted(i for i, t in rows if count_tokens(t))
+
+
+def test_halves_are_about_equal_and_alike():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(200, 8)) * 0.1 + rng.normal(size=8) * 3 for _ in range(4)]).astype(np.float32)
+    leaf = packing.shard_of(x, *packing.halve(x, 4, rng))
+    assert (np.bincount(leaf) > 150).all() and sum(np.bincount(leaf[i * 200 : (i + 1) * 200]).max() for i in range(4)) > 700
 
 
 def brute_cost(patterns, quotas, uses):
@@ -125,6 +153,13 @@ def test_selection_meets_shares_and_caps(spark):
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in selection.collect()}
 
 
+def test_too_many_targets_are_not_dropped_silently(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TARGETS", 1)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mix_sources(spark.createDataFrame([(1, "text", "a")], "doc_id long, text string, source string"), targets)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
@@ -147,7 +182,7 @@ def test_neighbours_are_found_in_the_whole_collection(spark, monkeypatch):
 
 
 def test_rare_sets_of_sources_stay_whole(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PATTERNS", 1, raising=False)
+    monkeypatch.setattr(mixing, "PART_TEXTS", 7)
     # Only texts of both sources can reach b, and a's single repetition bounds them.
     rows = [(i, f"shard index graph schema {i}", "a") for i in range(60)] + [(100 + i, f"record parser router cursor {i // 2}", "ab"[i % 2]) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
