@@ -1,6 +1,8 @@
 """Personal data in free text: detection, typed placeholders and keyed surrogates.
 
-Each detected item gets a surrogate of its own type, script and format that
+Names are found by forms of address, by a lexicon, and by what the collection
+says of their surroundings: words that stand beside many names of the lexicon
+introduce other names as well.  Each detected item gets a surrogate of its own type, script and format that
 depends only on a key and on the item's parts, so the same person keeps one
 name throughout the collection and a family name alone keeps the one of the
 full name.  Surrogates are checked against each other and against the real
@@ -19,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.pii_scan import Names, scan
+from quillmesh.llm.pii_scan import Names, look, settle
 from quillmesh.session import cut
 
 FOUND = "doc_id long, start int, stop int, pii_type string, pii_text string"
-#: The most names a lexicon may hold to be sent to every task.
-LEXICON_ROWS = 200_000
+#: The most names a lexicon may hold to be sent to every task; more raise an error.
+LEXICON_ROWS = 5_000_000
+#: Known names that must stand beside words for them to introduce names, and the least share of all that is shaped like a name there.
+CUE_NAMES, CUE_SHARE = 3, 0.1
 #: Draws after which a part that still shares its surrogate gets one with a growing number behind it.
 DRAWS = 12
 #: Digits of the seed from which items other than names are rendered; a number may follow them.
@@ -49,21 +53,54 @@ def lexicon_names(lexicon: DataFrame) -> Names:
     return Names([(r["name"], r["kind"] or "", r["script"] or "") for r in rows])
 
 
-def find_pii(documents: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_pii(documents: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text", cues: DataFrame | None = None) -> DataFrame:
     """Every item as ``doc_id, start, stop, pii_type, pii_text`` (offsets in characters).
 
-    Null and blank texts hold nothing, rows without an id are left out, texts
-    are read whole however long, and extra columns are ignored.
+    What is shaped like a full name counts as one when the lexicon has both of
+    its parts, or when the words before or behind it introduce names: those
+    beside which the collection has at least ``CUE_NAMES`` names of the
+    lexicon, a tenth or more of what is shaped like a name there.  ``cues``
+    (side ``before`` or ``behind``, words) adds to what is learnt.  Null and
+    blank texts hold nothing, rows without an id are left out, texts are read
+    whole however long, and extra columns are ignored.
     """
     names = documents.sparkSession.sparkContext.broadcast(lexicon_names(lexicon))
+    span = "struct<start:int,stop:int,kind:string,text:string>"
+    shape = "struct<start:int,stop:int,text:string,known:boolean,before:string,behind:string>"
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def looked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, s, e, kind, t[s:e]) for i, t in zip(batch["doc_id"], batch["text"]) for s, e, kind in scan(t, names.value)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "pii_type", "pii_text"])
+            rows = []
+            for i, t in zip(batch["doc_id"], batch["text"]):
+                sure, shaped = look(t, names.value)
+                if sure or shaped:
+                    spans = [{"start": s, "stop": e, "kind": k, "text": t[s:e]} for s, e, k in sure]
+                    rows.append((i, spans, [{"start": s, "stop": e, "text": t[s:e], "known": known, "before": b, "behind": a} for s, e, known, b, a in shaped]))
+            yield pd.DataFrame(rows, columns=["doc_id", "sure", "shaped"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInPandas(look, FOUND)
+    # Texts are read once; a row of this is numbered, so that two texts of one id stay apart.
+    seen = cut(rows.mapInPandas(looked, f"doc_id long, sure array<{span}>, shaped array<{shape}>").withColumn("row", F.monotonically_increasing_id()))
+    shaped = seen.select("row", F.explode("shaped").alias("s")).select("row", "s.*")
+    sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("words")) for side in ("before", "behind")))).alias("c")
+    beside = shaped.select("row", "start", "stop", "text", "known", sides).select("row", "start", "stop", "text", "known", "c.side", "c.words").where("words <> ''")
+    learnt = beside.groupBy("side", "words").agg(F.count("*").alias("n"), F.count_if("known").alias("names")).where((F.col("names") >= CUE_NAMES) & (F.col("names") >= CUE_SHARE * F.col("n"))).select("side", "words")
+    if cues is not None:
+        learnt = learnt.unionByName(cues.select("side", "words"))
+    introduced = beside.join(learnt.distinct(), ["side", "words"], "left_semi").select("row", "start", "stop", "text")
+    named = shaped.where("known").select("row", "start", "stop", "text").unionByName(introduced).distinct()
+    named = named.groupBy("row").agg(F.collect_list(F.struct("start", "stop", F.lit("name").alias("kind"), "text")).alias("named"))
+    both = seen.select("row", "doc_id", "sure").join(named, "row", "left").where("size(sure) > 0 or named is not null")
+
+    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, sure, named in zip(batch["doc_id"], batch["sure"], batch["named"]):
+                texts = {(x["start"], x["stop"], x["kind"]): x["text"] for x in [*sure, *(named if named is not None else ())]}
+                rows += [(i, *s, texts[s]) for s in settle(list(texts))]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "pii_type", "pii_text"])
+
+    return both.select("doc_id", "sure", "named").mapInPandas(settled, FOUND)
 
 
 def parts_of(kind: str, text: str) -> list[tuple[str, str]]:
@@ -142,7 +179,9 @@ def render(kind: str, text: str, surrogates: dict[tuple[str, str], str]) -> str:
         at = re.search(r"\s?(?:@|＠|&#64;|&commat;|[\[({]\s?\w+\s?[\])}]|\bat\b)\s?", text)
         local = re.sub(r"[A-Za-z]", lambda m: _cased(m[0], "abcdefghijklmnopqrstuvwxyz"[draw(26)]), text[: at.start()]) if at else text
         local = re.sub(r"\d", lambda m: str(draw(10)), local)
-        return f"{local}{counted}{at[0]}mail.example" if at else local + counted
+        # Every name below the reserved domain belongs to nobody.
+        host = _pick(draw(1 << 40), _ONSETS, _MIDDLES, _ONSETS, _MIDDLES)
+        return f"{local}{counted}{at[0]}{host}.example" if at else local + counted
     if kind == "phone":
         head = re.match(r"(?:\+|＋|00)?\d{1,2}(?=\D)|[+＋]\d{2}|0", text)
         keep = head.end() if head else 0
@@ -197,12 +236,14 @@ def _surrogates(items: DataFrame, key: str) -> DataFrame:
         state = cut(marked.where("again is null").drop("again").select(*state.columns).unionByName(drawn(marked.where("again"), F.col("draw") + 1)))
 
 
-def replace_pii(documents: DataFrame, lexicon: DataFrame, key: str = "quillmesh", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document as ``doc_id, items, redacted, surrogate``: with typed placeholders such as ``[EMAIL]``, and with surrogates drawn by ``key``.
+def replace_pii(documents: DataFrame, lexicon: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", cues: DataFrame | None = None) -> DataFrame:
+    """Every document as ``doc_id, items, redacted, surrogate``: with typed placeholders such as ``[EMAIL]``, and with surrogates drawn by the secret ``key``.
 
     Texts without an item, null ones included, come out as they are.
     """
-    found = cut(find_pii(documents, lexicon, doc_id, text))
+    if not key:
+        raise ValueError("a key is needed")
+    found = cut(find_pii(documents, lexicon, doc_id, text, cues))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

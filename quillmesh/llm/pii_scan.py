@@ -1,8 +1,10 @@
 """Finding personal data in one text.
 
-Every rule starts from a literal that the text must hold (an at sign, a label,
-a street word, an introduction of a name), found with plain string search, and
-then looks at a short stretch around it, so the cost follows the hits.
+Most rules start from a literal that the text must hold (an at sign, a label,
+a street word, a form of address), found with plain string search, and then
+look at a short stretch around it, so the cost follows the hits.  Whatever is
+shaped like a full name is a candidate, with the words before and behind it;
+which of those introduce names is for the collection to say.
 """
 
 from __future__ import annotations
@@ -157,54 +159,70 @@ def addresses(text: str) -> list[Span]:
 
 
 # --- names ----------------------------------------------------------------
-_W = r"[A-ZÀ-ÖØ-Þ][\w'’-]*\w"
+_L = "A-Za-zÀ-ÖØ-öø-ÿĀ-ž"
+_W = rf"[A-ZÀ-ÖØ-Þ][{_L}'’-]*[{_L}]"
 _I = r"[A-ZÀ-ÖØ-Þ]\."
-_FULL = rf"(?:{_W}, {_W}(?: {_I})*|{_W}(?: {_I})+ {_W}|{_I}(?: ?{_I})* ?{_W}|{_W} {_W})(?!\w)"
-_KANJI_NAME = r"[一-龥々]{2}[ 　]?[一-龥々ぁ-ゖァ-ヺ]{1,3}"
-_FORWARD = re.compile(rf"(?:{_KANJI_NAME}(?![一-龥ぁ-ゖァ-ヺ])|{_FULL})")
-_BACKWARD = re.compile(rf"(?:(?<![一-龥ぁ-ゖァ-ヺ]){_KANJI_NAME}|(?<![\w.]){_FULL})$")
-_KANJI_BACK = re.compile(rf"(?:^|[。\n\]\s：、（(])({_KANJI_NAME})$")
-_LATIN_BACK = re.compile(rf"(?<![\w'’])({_FULL})$")
-# Phrases before and after which a person's full name stands.
-_BEFORE_NAME = (
-    "Notes taken by ", "We thank ", "According to ", "Reviewed-by: ", "Autor: ", "Autorin: ", "Author: ", "Auteur : ", "Auteure : ", "nterview with ", "Interview mit ", "Entretien avec ", "recueillis par ", "Protokoll führte ",
-    "Signed-off-by: ", "Written by ", "Verfasst von ", "Rédigé par ", "Geprüft von ", "Relu par ", "Speaker: ", "Edited by ", "記録者：", "著者：", "作成者：", "発表者：", "担当者：", "氏名：", "文責：", "聞き手：",
-)
-_AFTER_NAME = (" gave the talk", " a relu ce texte", " hat den Text geprüft", " hielt den Vortrag", " a présenté", "が発表した", "によるレビュー", "が記録した", "が講演した")
+_END = rf"(?![{_L}0-9_])"
+_FULL = rf"(?:{_W}, {_W}(?: {_I})*|{_W}(?: {_I})+ {_W}|{_I}(?: ?{_I})* ?{_W}|{_W} {_W}){_END}"
+_SHAPED = re.compile(rf"(?<![{_L}0-9_.'’@/-])(?=({_FULL}))")
+_KANJI_SHAPED = re.compile(r"(?<![一-龥々ァ-ヺー])([一-龥々]{2}[ 　]?[一-龥々]{1,3})(?![一-龥々])")
+_INITIAL = re.compile(r"(?:\w\.)+")
+_CJK = re.compile(r"[ぁ-ゖァ-ヺ一-龥々]")
+_BREAK = re.compile(r"[\n\r。！？]|[.!?](?:\s|$)")
+# Forms of address before and after a name.
 _TITLES = ("Mr ", "Mr. ", "Mrs ", "Mrs. ", "Ms ", "Ms. ", "Miss ", "Mx ", "Dr ", "Dr. ", "Prof ", "Prof. ", "Professor ", "Professorin ", "Herr ", "Herrn ", "Frau ", "Mme ", "Mlle ", "Monsieur ", "Madame ", "Mademoiselle ", "Docteur ", "Professeur ", "Doktor ", "M. ")
-_TITLED = re.compile(rf"(?:(?:Dr|Prof|Med|Ing)\.? )*(?:(?:{_W}(?: {_I})+ {_W}|{_I}(?: ?{_I})* ?{_W})(?!\w)|{_W})")
 _HONORIFICS = ("さん", "様", "氏", "先生", "殿", "教授", "博士")
-_HONORED = re.compile(r"([一-龥々]{2,6}|[A-ZÀ-Þ][A-Za-zÀ-ÿ'’-]+(?: [A-ZÀ-Þ][A-Za-zÀ-ÿ'’-]+)?)[ 　]?$")
+_TITLE_WORDS = frozenset(t.strip(" .") for t in _TITLES) - {"M"}
+_TITLED = re.compile(rf"(?:(?:Dr|Prof|Med|Ing)\.? )*(?:(?:{_W}(?: {_I})+ {_W}|{_I}(?: ?{_I})* ?{_W}){_END}|{_W})")
+_HONORED = re.compile(rf"([一-龥々]{{2,6}}|[A-ZÀ-Þ][{_L}'’-]+(?: [A-ZÀ-Þ][{_L}'’-]+)?)[ 　]?$")
 # Words that take an honorific without being a name.
 _NOT_NAMES = frozenset("皆 皆々 客 お客 担当 担当者 関係者 読者 利用者 参加者 著者 作者 両 同 各 神 仏 王 奥 部長 課長 社長 会長 医師 教師 学生 生徒 先 御社 貴社 当社 弊社 同様 多様 仕様 模様 異様 一様 有様".split())
 
+#: A name-shaped stretch: start, end, whether both of its parts are known, and the words before and behind it in its sentence.
+Shaped = tuple[int, int, bool, str, str]
+
+
+def around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The two words before and behind a stretch, or four characters where words aren't set apart; '' at the borders of a sentence."""
+    before = _BREAK.split(text[max(0, start - 40) : start])[-1]
+    before = before[-4:] if _CJK.search(before[-1:]) or before.endswith("：") else " ".join(before.split()[-2:])
+    behind = _BREAK.split(text[end : end + 40])[0]
+    behind = behind[:4] if _CJK.match(behind) else " ".join(behind.split()[:2]) if behind[:1] == " " else ""
+    return before, behind
+
 
 class Names:
     """Name rules with a lexicon of given and family names by script."""
 
     def __init__(self, lexicon: list[tuple[str, str, str]]) -> None:
-        self.given = sorted({n for n, kind, script in lexicon if kind == "given" and script != "ja" and n})
-        self.family = {n for n, kind, script in lexicon if kind == "family" and script != "ja" and n}
-        self.ja_family = sorted({n for n, kind, script in lexicon if kind == "family" and script == "ja" and n})
+        self.given = {n.casefold() for n, kind, script in lexicon if kind == "given" and script != "ja" and n}
+        self.family = {n.casefold() for n, kind, script in lexicon if kind == "family" and script != "ja" and n}
+        self.ja_family = {n for n, kind, script in lexicon if kind == "family" and script == "ja" and n}
         self.ja_given = {n for n, kind, script in lexicon if kind == "given" and script == "ja" and n}
 
-    def find(self, text: str) -> list[Span]:
+    def shaped(self, text: str) -> list[Shaped]:
+        """Everything shaped like a full name."""
+        out = []
+        for found in _SHAPED.finditer(text):
+            start, end = found.span(1)
+            words = [w for w in re.split(r"[\s,]+", found[1]) if not _INITIAL.fullmatch(w)]
+            if found[1].split()[0].strip(".,") in _TITLE_WORDS:
+                continue
+            if "," in found[1]:
+                words = words[1:] + words[:1]
+            known = len(words) > 1 and words[0].casefold() in self.given and words[-1].casefold() in self.family
+            out.append((start, end, known, *around(text, start, end)))
+        if _CJK.search(text):
+            for found in _KANJI_SHAPED.finditer(text):
+                start, end = found.span(1)
+                bare = re.sub(r"\s", "", found[1])
+                if not bare.endswith(_HONORIFICS):
+                    out.append((start, end, bare[:2] in self.ja_family and bare[2:] in self.ja_given, *around(text, start, end)))
+        return out
+
+    def addressed(self, text: str) -> list[Span]:
+        """Names with a form of address."""
         out: list[Span] = []
-        for cue in _BEFORE_NAME:
-            at = text.find(cue)
-            while at >= 0:
-                if name := _FORWARD.match(text, at + len(cue)):
-                    out.append((name.start(), name.end(), "name"))
-                at = text.find(cue, at + len(cue))
-        for cue in _AFTER_NAME:
-            at = text.find(cue)
-            while at >= 0:
-                low = max(0, at - 70)
-                low = max(low, *(text.rfind(c, low, at) + 1 for c in "。\n)）"))
-                piece = text[low:at]
-                if name := _KANJI_BACK.search(piece) or _LATIN_BACK.search(piece):
-                    out.append((low + name.start(1), low + name.end(1), "name"))
-                at = text.find(cue, at + len(cue))
         for title in _TITLES:
             at = text.find(title)
             while at >= 0:
@@ -215,7 +233,7 @@ class Names:
                     apart = apart and (not before.strip() or before.strip()[-1] in ".!?。:>]\"«(")
                 if apart and (name := _TITLED.match(text, at + len(title))):
                     start = name.start() + len(re.match(r"(?:(?:Dr|Prof|Med|Ing)\.? )*", name[0])[0])
-                    if not any(s <= at < e for s, e, _ in out) and not text[start : name.end()].isdigit():
+                    if not text[start : name.end()].isdigit():
                         out.append((start, name.end(), "name"))
                 at = text.find(title, at + len(title))
         for honorific in _HONORIFICS:
@@ -223,43 +241,40 @@ class Names:
             while at > 0:
                 if name := _HONORED.search(text, max(0, at - 40), at):
                     word = name[1]
-                    known = any(word.startswith(f) for f in self.ja_family) if not word.isascii() and "一" <= word[0] <= "龥" else True
+                    known = word[:2] in self.ja_family if not word.isascii() and "一" <= word[0] <= "龥" else True
                     short = len(word) == 2 or word[0].isascii() or not "一" <= word[0] <= "龥"
                     if word not in _NOT_NAMES and (known or short) and (short or len(word) <= 5):
                         out.append((name.start(1), name.end(1), "name"))
                 at = text.find(honorific, at + 1)
-        for given in self.given:
-            at = text.find(given)
-            while at >= 0:
-                after = re.compile(rf"(?: {_I})* ({_W})").match(text, at + len(given))
-                if after and after[1] in self.family and not text[at - 1 : at].isalnum():
-                    out.append((at, after.end(), "name"))
-                at = text.find(given, at + len(given))
-        for family in self.ja_family:
-            at = text.find(family)
-            while at >= 0:
-                after = re.compile(r"[ 　]?([一-龥々]{2})").match(text, at + len(family))
-                if after and after[1] in self.ja_given:
-                    out.append((at, after.end(), "name"))
-                at = text.find(family, at + len(family))
         return out
 
 
-def scan(text: str | None, names: Names) -> list[Span]:
-    """All personal data of ``text`` as ``start, end, type``, in order and without overlap.
-
-    Where two overlap, the earlier kind of e-mail, identity number, address,
-    telephone and name stays, and of one kind the longer.
-    """
+def look(text: str | None, names: Names) -> tuple[list[Span], list[Shaped]]:
+    """What a text holds for certain, overlaps included, and what is shaped like a name."""
     if not text:
-        return []
+        return [], []
     mail = emails(text)
     ids = id_numbers(text, text.lower() if len(text.lower()) == len(text) else text)
     street = addresses(text)
-    phone = phones(text, mail + ids + street)
+    return mail + ids + street + phones(text, mail + ids + street) + names.addressed(text), names.shaped(text)
+
+
+def settle(spans: list[Span]) -> list[Span]:
+    """Spans in order and without overlap.
+
+    Where two overlap, the earlier kind of e-mail, identity number, address,
+    telephone and name stays, and of one kind the longer.
+    """
     rank = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}
     kept: list[Span] = []
-    for span in sorted(mail + ids + street + phone + names.find(text), key=lambda s: (rank[s[2]], s[0] - s[1], s[0])):
+    for span in sorted(spans, key=lambda s: (rank[s[2]], s[0] - s[1], s[0])):
         if span[0] < span[1] and not any(s < span[1] and span[0] < e for s, e, _ in kept):
             kept.append(span)
     return sorted(kept)
+
+
+def scan(text: str | None, names: Names, cues: frozenset[tuple[str, str]] = frozenset()) -> list[Span]:
+    """All personal data of one text as ``start, end, type``; ``cues`` are the (side, words) that introduce names."""
+    sure, shaped = look(text, names)
+    named = [(s, e, "name") for s, e, known, before, behind in shaped if known or ("before", before) in cues or ("behind", behind) in cues]
+    return settle(sure + named)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from quillmesh.llm.packing import pack_containers
 from quillmesh.llm.pairs import defective_pairs
 from quillmesh.llm.pii import find_pii, replace_pii
 from quillmesh.llm.vptree import nearest, similar_pairs, usable_vectors
-from quillmesh.session import table
+from quillmesh.session import cut, table
 
 #: Kinds of containers that ``p6_containers`` fills at most.
 SPECIFICATIONS = 100
+#: Where the session names the key of surrogates; without one, each run draws its own.
+KEY = "spark.quillmesh.surrogateKey"
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -76,6 +80,24 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack_containers(table(spark, root, "documents"), [int(s["capacity_tokens"]) for s in specs])
 
 
+def p6_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of ``p6_containers``, for each capacity: the texts packed, containers too full, texts split that would fit, and texts of which tokens are missing or stand twice."""
+    packed = cut(p6_containers(spark, root))
+    full = packed.groupBy("capacity", "container").agg(F.sum("tokens").alias("held")).groupBy("capacity").agg(F.count_if(F.col("held") > F.col("capacity")).alias("too_full"))
+    pieces = packed.groupBy("capacity", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("reach"))
+    split, gaps = F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))), F.count_if(F.col("tokens") != F.col("reach"))
+    return pieces.groupBy("capacity").agg(F.count("*").alias("texts"), split.alias("split"), gaps.alias("gaps")).join(full, "capacity")
+
+
+def p7_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of ``p7_shares``, for each source: whether its share is near the aim, and whether no text is used too often."""
+    report, targets = p7_shares(spark, root), table(spark, root, "mix_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    reachable = report.where("texts > 0").agg(F.sum("target_share").alias("reachable"))
+    aim = F.when(F.col("texts") > 0, F.col("target_share") / F.col("reachable")).otherwise(0.0)
+    rows = report.join(targets, "source").crossJoin(F.broadcast(reachable))
+    return rows.select("source", (F.abs(F.col("actual_share") - aim) <= 0.01).alias("near_aim"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p7_selection(spark: SparkSession, root: str) -> DataFrame:
     """The texts selected for each source, with the number of the use."""
     return mix_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
@@ -93,10 +115,11 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_texts(spark: SparkSession, root: str) -> DataFrame:
     """Every text with typed placeholders, and with surrogates, in place of the items."""
-    return replace_pii(table(spark, root, "documents"), table(spark, root, "name_lexicon"))
+    key = spark.conf.get(KEY, None) or secrets.token_hex(32)
+    return replace_pii(table(spark, root, "documents"), table(spark, root, "name_lexicon"), key)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_scored_pairs, p3_found, p3_values, p4_found, p4_nearest, p5_found, p5_groups, p6_containers, p7_selection, p7_shares, p8_found, p8_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_scored_pairs, p3_found, p3_values, p4_found, p4_nearest, p5_found, p5_groups, p6_containers, p6_checks, p7_selection, p7_shares, p7_checks, p8_found, p8_texts)}
 
 _PAIRS = """
 with m as (select distinct doc_id, lower(trim(concept_id)) as c from doc_concepts
@@ -140,4 +163,18 @@ ORACLES = {
             k as (select id, count(*) as n from g group by id),
             c as (select a.id as id_a, b.id as id_b, count(*) as c from g a join g b on a.g = b.g and a.id < b.id group by 1, 2)
        select id_a, id_b from c join k ka on ka.id = id_a join k kb on kb.id = id_b where c >= 0.6 * (ka.n + kb.n - c)""",
+    "p5_groups": r"""
+       with recursive n as (select distinct id, lower(regexp_replace(content, '[^\p{L}\p{N}]+', '', 'g')) as t from docs where id is not null and content is not null),
+            m as (select id, t, min(id) over (partition by t) as class_id, count(*) over (partition by t) as copies from n where length(t) >= 5),
+            k as (select distinct class_id, t from m),
+            g as (select distinct class_id, substr(t, i::int, 5) as g from k, unnest(range(1, length(t) - 3)) as u(i)),
+            z as (select class_id, count(*) as n from g group by 1),
+            c as (select a.class_id as a, b.class_id as b, count(*) as c from g a join g b on a.g = b.g and a.class_id <> b.class_id group by 1, 2),
+            l as (select a, b from c join z za on za.class_id = a join z zb on zb.class_id = b where c >= 0.6 * (za.n + zb.n - c)),
+            r as (select class_id as x, class_id as y from k union select r.x, l.b from r join l on l.a = r.y),
+            o as (select x, min(y) as group_id from r group by 1),
+            d as (select a, count(*) as links from l group by 1)
+       select id, m.class_id, group_id, copies, coalesce(links, 0) as links from m join o on o.x = m.class_id left join d on d.a = m.class_id""",
+    "p6_checks": r"select distinct capacity_tokens as capacity, (select count(*) from documents where doc_id is not null and regexp_matches(text, '[^\s\p{Z}]')) as texts, 0::bigint as split, 0::bigint as gaps, 0::bigint as too_full from container_specs where capacity_tokens > 0",
+    "p7_checks": "select lower(trim(source)) as source, true as near_aim, true as within_repeats from mix_targets where source is not null and target_share > 0",
 }

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 from quillmesh.llm import pii as P
@@ -6,6 +7,8 @@ from quillmesh.llm.pii_scan import Names, scan
 
 LEXICON = [("Dario", "given", "latin"), ("Rose", "given", "latin"), ("Dawn", "given", "latin"), ("Talorbel", "family", "latin"), ("砂坂", "family", "ja"), ("律花", "given", "ja")]
 NAMES = Names(LEXICON)
+#: What a collection would have taught.
+CUES = frozenset({("before", "We thank"), ("behind", "gave the"), ("before", "According to"), ("behind", "によるレ"), ("before", "記録者："), ("behind", "a relu"), ("behind", "hat den"), ("before", "Reviewed-by:")})
 CASES = {
     "Write to a.b+kb@mail.example for it.": [("email", "a.b+kb@mail.example")], "連絡先はelodie53@example.netです。": [("email", "elodie53@example.net")], "<x_y (at) corp[dot]invalid>": [("email", "x_y (at) corp[dot]invalid")],
     "Contact: me at mail dot example": [("email", "me at mail dot example")], "Contact: a＠post.test": [("email", "a＠post.test")], "[m](mailto:a&#64;b.test)": [("email", "a&#64;b.test")],
@@ -25,17 +28,17 @@ NOTHING = [
 
 @pytest.mark.parametrize("text", CASES)
 def test_items(text):
-    assert [(k, text[s:e]) for s, e, k in scan(text, NAMES)] == CASES[text]
+    assert [(k, text[s:e]) for s, e, k in scan(text, NAMES, CUES)] == CASES[text]
 
 
 @pytest.mark.parametrize("text", NOTHING)
 def test_no_items(text):
-    assert scan(text, NAMES) == []
+    assert scan(text, NAMES, CUES) == []
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    texts = ["Mr Talorbel wrote. We thank Dario Talorbel for it (dario@mail.example).", "We thank Dario Talorbel for more. Call +1 503 555 0189.", None, "", "Nothing here.", "楓峰奏多によるレビュー済み。" * 2000]
+    texts = ["Mr Talorbel wrote. We thank Dario Talorbel for it (dario@mail.example).", "We thank Dario Talorbel for more. Call +1 503 555 0189.", None, "", "Nothing here.", "砂坂律花によるレビュー済み。" * 2000 + "楓峰奏多によるレビュー済み。"]
     documents = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "a@b.test", "x", 1)], "doc_id long, text string, kind string, start int")
     return documents, spark.createDataFrame(LEXICON + [(None, "given", "latin")], "name string, kind string, script string")
 
@@ -43,10 +46,29 @@ def tables(spark):
 def test_operator_on_a_table(spark, tables):
     found = find_pii(*tables).collect()
     assert {(r["doc_id"], r["pii_type"], r["pii_text"]) for r in found} == {
-        (0, "name", "Talorbel"), (0, "name", "Dario Talorbel"), (0, "email", "dario@mail.example"), (1, "name", "Dario Talorbel"), (1, "phone", "+1 503 555 0189"), (5, "name", "楓峰奏多"),
+        (0, "name", "Talorbel"), (0, "name", "Dario Talorbel"), (0, "email", "dario@mail.example"), (1, "name", "Dario Talorbel"), (1, "phone", "+1 503 555 0189"), (5, "name", "砂坂律花"), (5, "name", "楓峰奏多"),
     }
-    assert sum(r["doc_id"] == 5 for r in found) == 2000
-    assert find_pii(tables[0].limit(0), tables[1]).count() == 0 and find_pii(tables[0], tables[1].limit(0)).count() == len(found)
+    assert sum(r["doc_id"] == 5 for r in found) == 2001
+    # Without a lexicon nothing teaches what introduces names; forms of address still tell some.
+    assert find_pii(tables[0].limit(0), tables[1]).count() == 0
+    assert {r["pii_text"] for r in find_pii(tables[0], tables[1].limit(0)).collect()} == {"Talorbel", "dario@mail.example", "+1 503 555 0189"}
+
+
+def test_introductions_are_learnt_from_the_collection(spark):
+    known, unknown = ["Dario Talorbel", "Rose Talorbel", "TALORBEL, DAWN"], ["Priya Natarajan", "Q. Fischer", "Iolan B. Ames"]
+    texts = [f"Late pencils were sharpened by {n} on Monday." for n in known + unknown] + [f"Gestern kam {n} aus dem Archiv zurück." for n in known + unknown]
+    texts += ["The morning build of Green Growth failed.", "The morning build of Apache Spark failed.", "The morning build of Dario Talorbel failed."]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = spark.createDataFrame(LEXICON, "name string, kind string, script string")
+    got = {(r["doc_id"], r["pii_text"]) for r in find_pii(documents, lexicon).collect()}
+    assert got == {(i, (known + unknown)[i % 6]) for i in range(12)} | {(14, "Dario Talorbel")}
+    cues = spark.createDataFrame([("before", "build of")], "side string, words string")
+    assert {t for i, t in {(r["doc_id"], r["pii_text"]) for r in find_pii(documents, lexicon, cues=cues).collect()} if i > 11} == {"Green Growth", "Apache Spark", "Dario Talorbel"}
+
+
+def test_a_key_is_needed(tables):
+    with pytest.raises(ValueError):
+        replace_pii(*tables, key="")
 
 
 def test_placeholders_and_surrogates(spark, tables):
@@ -56,7 +78,7 @@ def test_placeholders_and_surrogates(spark, tables):
     full = got[0]["surrogate"].split("We thank ")[1].split(" for")[0]
     # One person keeps one name, in part and in whole, in every document.
     assert full.split()[1] == family and full in got[1]["surrogate"] and "Talorbel" not in got[0]["surrogate"] + got[1]["surrogate"]
-    assert got[0]["surrogate"].endswith("@mail.example).") and "dario" not in got[0]["surrogate"]
+    assert got[0]["surrogate"].endswith(".example).") and "mail.example" not in got[0]["surrogate"] and "dario" not in got[0]["surrogate"]
     again = {r["doc_id"]: r["surrogate"] for r in replace_pii(*tables, key="k").collect()}
     other = {r["doc_id"]: r["surrogate"] for r in replace_pii(*tables, key="else").collect()}
     assert again[0] == got[0]["surrogate"] != other[0]
@@ -66,7 +88,8 @@ def test_surrogates_stay_distinct(spark):
     people = [f"We thank Dario {chr(65 + i // 26)}{chr(97 + i % 26)}nor for it." for i in range(300)]
     documents = spark.createDataFrame(list(enumerate(people)), "doc_id long, text string")
     lexicon = spark.createDataFrame(LEXICON, "name string, kind string, script string")
-    got = replace_pii(documents, lexicon).collect()
+    cues = spark.createDataFrame([("before", "We thank")], "side string, words string")
+    got = replace_pii(documents, lexicon, key="k", cues=cues).collect()
     assert len({r["surrogate"] for r in got}) == len(set(people))
 
 
@@ -81,6 +104,18 @@ def test_format_is_kept():
     assert len(render("name", "霧守 蒼司", made)) == 5
 
 
+@pytest.mark.parametrize("kind", ["email", "phone", "id_number", "address", "name"])
+def test_many_surrogates_come_out_distinct(spark, kind):
+    # A hundred thousand items of the kinds with most letters to choose, fewer of the others to keep the test short.
+    made = {"email": "u{}@host.test", "phone": "+44 1632 {:06}", "id_number": "QX {:07}", "address": "{} Fennel Street, Valdris", "name": "Dario K{}"}[kind]
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    items = [made.format(letters(i) if kind == "name" else i) for i in range(100_000 if kind in ("email", "address") else 20_000)]
+    rows = [(kind, t, k, p) for t in items for k, p in parts_of(kind, t)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["pii_type", "pii_text", "kind", "part"]))
+    drawn = {(r["kind"], r["part"]): r["surrogate"] for r in P._surrogates(df, "k").collect()}
+    assert len({render(kind, t, drawn) for t in items}) == len(items)
+
+
 @pytest.mark.parametrize("kind, items", {
     "email": [f"{a}@{b}.test" for a in "abcdefghijklmnopqrst" for b in ("one", "two")],
     "phone": [f"+1 {i}" for i in range(10, 50)],
