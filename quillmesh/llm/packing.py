@@ -33,6 +33,8 @@ SHARD_TEXTS = 3000
 SAMPLE_TEXTS, SAMPLE_SHARD = 16_384, 8
 #: Counters of the term statistics, and length of the vectors that shards are fitted on.
 COUNTERS, WIDTH = 1 << 20, 256
+#: Postings that are summed up at once.
+POSTINGS = 1 << 20
 K1, B = 1.2, 0.75
 
 _TERM = re.compile(r"[^\W\d_]{3,}|[぀-ヿ㐀-鿿]{2}")
@@ -75,12 +77,34 @@ class Index:
         self.codes, starts = np.unique(term[order], return_index=True)
         self.starts = np.append(starts, len(term))
 
-    def scores(self, query: np.ndarray) -> np.ndarray:
-        """The score of every text for a query of distinct terms, all of which are in the index."""
-        at = np.searchsorted(self.codes, query)
-        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        postings = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        return np.bincount(self.owner[postings], weights=self.weight[postings], minlength=self.n)
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """The score of every text for each query of distinct terms, all of which are in the index."""
+        held = np.diff(self.starts)
+        asker = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        at = np.searchsorted(self.codes, np.concatenate(queries)) if len(asker) else np.empty(0, np.int64)
+        # Frequent terms by one product of matrices, the others posting by posting.
+        often = np.flatnonzero(held * 32 > self.n)
+        place = np.full(len(held), -1)
+        place[often] = np.arange(len(often))
+        left = np.zeros((len(queries), len(often)), dtype=np.float32)
+        right = np.zeros((len(often), self.n), dtype=np.float32)
+        dense, of = place[at] >= 0, np.repeat(place, held)
+        left[asker[dense], place[at[dense]]] = 1
+        right[of[of >= 0], self.owner[of >= 0]] = self.weight[of >= 0]
+        out = left @ right
+        asker, at = asker[~dense], at[~dense]
+        n = held[at]
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + POSTINGS, "right")))
+            m = n[low:high]
+            postings = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.starts[at[low:high]], m)
+            first, last = asker[low], asker[high - 1] + 1
+            cell = np.repeat(asker[low:high] - first, m) * self.n + self.owner[postings]
+            out[first:last] += np.bincount(cell, weights=self.weight[postings], minlength=(last - first) * self.n).reshape(last - first, self.n)
+            low = high
+        return out
 
 
 def close(room: int, rising: list[tuple[int, int]]) -> list[int]:
@@ -93,10 +117,11 @@ def close(room: int, rising: list[tuple[int, int]]) -> list[int]:
     return taken
 
 
-def fill(sizes: np.ndarray, terms: list[np.ndarray], index: Index, numbers: np.ndarray, capacity: int) -> np.ndarray:
+def fill(sizes: np.ndarray, numbers: np.ndarray, scores: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each text, from sizes in falling order; no size exceeds the capacity.
 
-    ``numbers`` are those of the texts in ``index``, which may hold others.
+    ``scores`` are those of all texts of a shard for each other, ``numbers``
+    the places of these texts among them.
     """
     container = np.full(len(sizes), -1, dtype=np.int64)
     # Sizes of the unused texts in rising order, with their numbers, for closing what stays open.
@@ -113,7 +138,7 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], index: Index, numbers: np.n
         use(seed, number)
         room = capacity - int(sizes[seed])
         if rising and room >= rising[0][0]:
-            score = index.scores(terms[seed])[numbers]
+            score = scores[numbers[seed]][numbers]
             score[(container >= 0) | (sizes > room)] = 0
             hits = np.flatnonzero(score)
             for i in hits[np.argsort(-score[hits], kind="stable")]:
@@ -254,7 +279,7 @@ def pack_containers(documents: DataFrame, capacity: int | Sequence[int], doc_id:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "vector": list(vectors_of(list(batch["terms"]), weighted(batch)))})
 
     shards = max(1, round(n / SHARD_TEXTS))
-    directions, nodes = np.zeros((0, WIDTH), np.float32), []
+    directions, nodes, parts = np.zeros((0, WIDTH), np.float32), [], np.ones(1, dtype=np.int64)
     if shards > 1:
         # A hash decides who is in the sample, so its size is about SAMPLE_TEXTS however many texts there are.
         chance = min(1.0, SAMPLE_TEXTS / n)
@@ -262,29 +287,30 @@ def pack_containers(documents: DataFrame, capacity: int | Sequence[int], doc_id:
         sample = sampled.mapInPandas(look, "doc_id long, vector array<float>").toPandas().sort_values("doc_id")
         x = np.array(list(sample["vector"]), dtype=np.float32)
         directions, nodes = halve(x, max(1, min(shards, len(x) // SAMPLE_SHARD)), np.random.default_rng(11))
-    tree = spark.sparkContext.broadcast((directions, nodes))
+        # Many texts may be alike; a shard that the sample shows to be large is cut into parts.
+        parts = np.maximum(1, np.ceil(np.bincount(shard_of(x, directions, nodes), minlength=len(nodes) + 1) * (n / len(x)) / (2 * SHARD_TEXTS)).astype(np.int64))
+    tree = spark.sparkContext.broadcast((directions, nodes, parts))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            weights = weighted(batch)
-            shard = shard_of(vectors_of(list(batch["terms"]), weights), *tree.value)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": batch["tokens"], "shard": shard, "terms": batch["terms"], "weights": weights})
+            weights, (*halves, cut_into) = weighted(batch), tree.value
+            shard = shard_of(vectors_of(list(batch["terms"]), weights), *halves)
+            dealt = (batch["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": batch["tokens"], "shard": shard, "part": dealt % cut_into[shard], "terms": batch["terms"], "weights": weights})
 
-    placed = measured.mapInPandas(place, "doc_id long, tokens int, shard int, terms array<long>, weights array<float>")
-    # Many texts may be alike; their shard is cut into parts of bounded size.
-    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD_TEXTS)).cast("int").alias("parts")).where("parts > 1")
-    placed = placed.join(cut(parts), "shard", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    placed = measured.mapInPandas(place, "doc_id long, tokens int, shard int, part int, terms array<long>, weights array<float>")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         terms = list(rows["terms"])
-        index = Index(terms, list(rows["weights"]))
+        # A part has a bounded number of texts, so that their scores fit.
+        scores = Index(terms, list(rows["weights"])).scores(terms)
         ids, tokens, out = rows["doc_id"].to_numpy(), rows["tokens"].to_numpy(), []
         name = f"{rows['shard'].iloc[0]}.{rows['part'].iloc[0]}"
         for size in capacities:
             rest = tokens % size
             numbers = np.lexsort((ids, -rest))
             numbers = numbers[rest[numbers] > 0]
-            container = fill(rest[numbers], [terms[i] for i in numbers], index, numbers, size)
+            container = fill(rest[numbers], numbers, scores, size)
             piece = tokens[numbers] // size
             names = [f"{size}-{name}-{c}" for c in container]
             out.append(pd.DataFrame({"doc_id": ids[numbers], "piece": piece, "first_token": piece * size, "tokens": rest[numbers], "container": names, "capacity": size}))
