@@ -24,16 +24,22 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(_part(url, 2), r"^.*@", ""), r":\d*$", ""))
 
 
+def _decoded(text: Column) -> Column:
+    """A part of a query string as typed; what isn't encoded rightly stays."""
+    return F.coalesce(F.try_url_decode(text), F.translate(text, "+", " "))
+
+
+def _encoded(text: Column) -> Column:
+    """Form encoding: a plus for a blank, letters, digits and ``-._~`` as they are."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """``url`` with a lower-case host alone, without trailing slashes, fragment, tracking and empty parameters."""
-    wanted = F.filter(
-        F.split(_part(url, 4), "&"),
-        lambda p: F.contains(p, F.lit("="))
-        & (F.length(F.substring_index(p, "=", -1)) > 0)
-        & ~F.lower(F.substring_index(p, "=", 1)).startswith("utm_")
-        & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING),
-    )
-    query = F.array_join(wanted, "&")
+    """``url`` with a lower-case host alone, without trailing slashes, fragment, tracking and empty parameters; the others are encoded anew."""
+    pairs = F.filter(F.split(_part(url, 4), "&"), lambda p: F.rlike(p, F.lit("(?s)=.")))
+    named = F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2)).alias("v")))
+    wanted = F.filter(named, lambda p: ~F.lower(p.k).startswith("utm_") & ~F.lower(p.k).isin(*TRACKING))
+    query = F.array_join(F.transform(wanted, lambda p: F.concat(_encoded(p.k), F.lit("="), _encoded(p.v))), "&")
     path = F.regexp_replace(_part(url, 3), "/+$", "")
     return F.concat(
         F.when(_part(url, 1) != "", F.concat(F.lower(_part(url, 1)), F.lit(":"))).otherwise(""),

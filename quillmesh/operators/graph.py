@@ -61,6 +61,7 @@ def score_term(concept_id: Column, label: Column, df: Column, weight: Column, n_
     generic = F.when(n > 0, df / n).otherwise(0.0)
     crowding = F.pow(df / hub.cast("double"), 2.0)
     clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), weight))
+    # The parts of a score.
     total = 0.40 * clamped + 0.25 * rarity + 0.15 * technical + 0.10 * segments - generic - crowding
     if interest is not None:
         total = total + 0.10 * interest.cast("double")
@@ -210,6 +211,29 @@ def replace_documents(old: DataFrame, new: DataFrame, gone: DataFrame, key: str
     return old.join(changed, key, "left_anti").unionByName(new)
 
 
+def full_build(docs: DataFrame, concepts: DataFrame, assigned: DataFrame, stats: DataFrame, least: int = 2, top_k: int = 20) -> dict[str, DataFrame]:
+    """All tables of the graph: ``concepts`` with frequencies, ``doc_concepts``, ``doc_stats`` with importance, and ``edges`` of every type.
+
+    ``docs`` has a ``source_key``.  Everything is a function of the inputs, so
+    nothing of an earlier build can be left over.
+    """
+    named = concepts.where("kind = 'entity'").select(F.lower(F.trim("concept_id")).alias("concept_id"))
+    scored = stats.drop("importance").join(importance(assigned, concepts, stats), "doc_id")
+    related = related_edges(docs, concepts, assigned).withColumn("edge_type", F.lit("related"))
+    beside = cooccurrence_edges(docs, concepts, assigned, least, top_k).withColumn("edge_type", F.lit("cooccurrence"))
+    own = document_edges(assigned.join(named, "concept_id", "left_semi"), docs)
+    return {"concepts": concept_frequency(concepts, assigned), "doc_concepts": assigned, "doc_stats": scored, "edges": own.unionByName(related).unionByName(beside)}
+
+
+def incremental_build(before: dict[str, DataFrame], docs: DataFrame, concepts: DataFrame, fresh: DataFrame, gone: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
+    """``full_build`` over the assignments of an earlier build with those of changed documents (``fresh``) in place of theirs, and without deleted ones (``gone``: doc_id).
+
+    What depends on the whole collection, frequencies, importance and edges by
+    rank, is made anew.
+    """
+    return full_build(docs, concepts, replace_documents(before["doc_concepts"], fresh, gone), stats)
+
+
 def drop_documents(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges without those that begin or end at a document of ``gone`` (doc_id)."""
     return edges.join(gone.select(F.col("doc_id").alias("src_id")), "src_id", "left_anti").join(gone.select(F.col("doc_id").alias("dst_id")), "dst_id", "left_anti").select(*edges.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.keys import bare_hash
+from quillmesh.functions.text import FRONT_MATTER
 
 
 def source_type_counts(docs: DataFrame) -> DataFrame:
@@ -61,6 +62,18 @@ def doctor(docs: DataFrame, sources: DataFrame, indexed: DataFrame) -> DataFrame
     return out.distinct()
 
 
+def file_problems(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """``path, problem`` of Markdown files without a front matter that ends, without one of the fields it must have, or without an analysis."""
+    # Fields that every document has.
+    required = ("id", "title", "source_type", "source_key", "content_hash")
+    front = F.regexp_extract(content, FRONT_MATTER, 1)
+    checks = [F.when(~F.rlike(content, F.lit(FRONT_MATTER)), "no front matter")]
+    checks += [F.when(F.rlike(content, F.lit(FRONT_MATTER)) & ~F.rlike(front, F.lit(rf"(?m)^{name}:")), f"no {name}") for name in required]
+    checks.append(F.when(~F.rlike(front, F.lit(r"(?m)^\s*confidence:")), "no analysis"))
+    found = files.where(F.col(content).isNotNull()).select(F.col(path).alias("path"), F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    return found.unionByName(files.where(F.col(content).isNull()).select(F.col(path).alias("path"), F.lit("no front matter").alias("problem")))
+
+
 def missing_notes(frequency: DataFrame, noted: DataFrame, min_df: int = 2) -> DataFrame:
     return frequency.where(F.col("df") >= min_df).join(noted, "concept_id", "left_anti").select("concept_id", "df")
 

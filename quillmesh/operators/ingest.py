@@ -78,3 +78,8 @@ def verify_index(index: DataFrame, files: DataFrame) -> DataFrame:
 def repair_index(index: DataFrame, files: DataFrame) -> DataFrame:
     """The index without ghosts and with what was missing; both have the same columns."""
     return index.join(files.select("id"), "id", "left_semi").unionByName(files.join(index.select("id"), "id", "left_anti").select(*index.columns))
+
+
+def find_by_source_key(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``source_key, doc_id``: the smallest id among the documents (``keyed``: id, source_key) of each of ``keys`` that has any."""
+    return keyed.join(keys.select("source_key").distinct(), "source_key", "left_semi").groupBy("source_key").agg(F.min("id").alias("doc_id"))

@@ -1,9 +1,10 @@
 """Full-text search: postings, a small query language, BM25 and snippets.
 
 The language has words (all must be there), ``OR``, ``NOT``, ``"a phrase"``,
-``prefix*``, ``column:word``, ``^first`` and ``NEAR(a b, n)``.  A query is read
-on the driver into a plan of DataFrame set operations; nothing is evaluated
-there.
+``prefix*``, ``column:word``, ``^first`` and ``NEAR(a b, n)``; other
+parentheses raise an error.  A query is read on the driver into a plan of
+DataFrame set operations; nothing is evaluated there.  ``write_index`` stores
+postings once, clustered by term, and a search reads those of its terms only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import ACCENTED, PLAIN, search_tokens
@@ -20,6 +21,9 @@ from quillmesh.session import cut
 
 COLUMNS = ("title", "source", "content")
 K1, B = 1.2, 0.75
+#: Folders of a stored index.
+BUCKETS = 64
+POSTINGS = "id string, length int, at int, col string, pos int, term string, bucket int"
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
@@ -67,7 +71,9 @@ def read_query(text: str) -> Query:
     negative = False
     for part in _PART.finditer(text):
         near, column, first, phrase, word, _ = part.groups()
-        if word in ("AND",) or part[6]:
+        if part[6]:
+            raise ValueError("parentheses are only understood after NEAR")
+        if word == "AND":
             continue
         if word == "OR":
             query.alternatives.append((need, without))
@@ -132,15 +138,17 @@ def matching(rows: DataFrame, query: Query) -> DataFrame:
     return out.distinct() if len(query.alternatives) > 1 else out
 
 
+def _placed(column: str) -> Column:
+    """The tokens of an array column as structs with the column's name and their place."""
+    return F.transform(column, lambda x, i: F.struct(F.lit(column).alias("col"), i.alias("pos"), x.alias("term")))
+
+
 def wanted_postings(docs: DataFrame, words: list[str], prefixes: list[str]) -> DataFrame:
     """``id, length, col, pos, term`` of the tokens a query can need; the others are dropped before rows are made of them."""
     tokens = {c: search_tokens(F.coalesce(F.col(c), F.lit(""))) for c in COLUMNS}
     split = docs.select("id", *(t.alias(c) for c, t in tokens.items()))
 
-    def placed(column: str):
-        return F.transform(column, lambda x, i: F.struct(F.lit(column).alias("col"), i.alias("pos"), x.alias("term")))
-
-    entries = F.concat(*map(placed, COLUMNS))
+    entries = F.concat(*map(_placed, COLUMNS))
 
     def needed(e):
         condition = e.term.isin(*words) if words else F.lit(False)
@@ -158,6 +166,58 @@ def collection_size(docs: DataFrame) -> DataFrame:
     return docs.select(length.alias("length")).where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
 
 
+def _bucket(start: Column) -> Column:
+    return F.pmod(F.xxhash64(start), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class SearchIndex:
+    """A stored index: ``postings`` by bucket of a term's first two letters and in order of terms, ``documents`` as shown, and the size of the ``collection``."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/documents")
+
+    @property
+    def collection(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/collection")
+
+    @property
+    def postings(self) -> DataFrame:
+        # Named here, since an empty table has no folders to tell it from.
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+
+    def rows(self, words: list[str], prefixes: list[str]) -> DataFrame:
+        """Postings of words and beginnings; the buckets of others aren't read."""
+        starts = [w[:2] for w in words] + [p[:2] for p in prefixes]
+        condition = F.col("term").isin(*words) if words else F.lit(False)
+        for p in prefixes:
+            condition = condition | F.col("term").startswith(p)
+        rows = self.postings.where(condition)
+        if all(len(p) > 1 for p in prefixes):
+            buckets = self.spark.createDataFrame([(x,) for x in sorted(set(starts))], "start string").select(_bucket(F.col("start")).alias("b")).distinct().collect()
+            rows = rows.where(F.col("bucket").isin(*[r["b"] for r in buckets]))
+        return rows.drop("bucket")
+
+
+def write_index(docs: DataFrame, path: str) -> SearchIndex:
+    """Store the index of ``docs`` (id, title, source, content) below ``path``, which is overwritten."""
+    spark = docs.sparkSession
+    docs.select("id", *COLUMNS).write.mode("overwrite").parquet(f"{path}/documents")
+    length = F.size("title") + F.size("source") + F.size("content")
+    split = spark.read.parquet(f"{path}/documents").select("id", *(search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in COLUMNS)).withColumn("length", length)
+    rows = split.select("id", "length", F.posexplode(F.concat(*map(_placed, COLUMNS))).alias("at", "e")).select("id", "length", "at", "e.*").withColumn("bucket", _bucket(F.left("term", F.lit(2))))
+    # Rebalancing splits what a frequent beginning would make too large, and joins what is small.
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # Every document with tokens has one that stands first.
+    index = SearchIndex(spark, path)
+    index.postings.where("at = 0").agg(F.count("*").alias("n"), F.avg("length").alias("average")).write.mode("overwrite").parquet(f"{path}/collection")
+    return index
+
+
 def bm25(rows: DataFrame, collection: DataFrame, ids: DataFrame, terms: list[str], prefixes: list[str] = ()) -> DataFrame:
     """``id, score`` of the documents ``ids`` for words and prefixes; better ones have lower scores.
 
@@ -178,22 +238,32 @@ def bm25(rows: DataFrame, collection: DataFrame, ids: DataFrame, terms: list[str
     return scored.groupBy("id").agg((-F.sum(part)).alias("score"))
 
 
-def search(docs: DataFrame, text: str, limit: int | None = 20) -> DataFrame:
-    """The best matches ``id, title, source, score``; equal scores in order of id.  ``limit=None`` gives all."""
+def search(docs: DataFrame | SearchIndex, text: str, limit: int | None = 20) -> DataFrame:
+    """The best matches ``id, title, source, score`` in documents or a stored index; equal scores in order of id.  ``limit=None`` gives all."""
     query = read_query(text)
     terms = sorted({w for m in query.wanted() for w in (m.words[:-1] if m.prefix else m.words)})
     prefixes = sorted({m.words[-1] for m in query.wanted() if m.prefix})
     unwanted = [m for _, without in query.alternatives for m in without]
     every = sorted({w for m in [*query.wanted(), *unwanted] for w in (m.words[:-1] if m.prefix else m.words)})
     starts = sorted({m.words[-1] for m in [*query.wanted(), *unwanted] if m.prefix})
-    # The texts are read once for the tokens that matter, which all conditions then share.
-    rows = cut(wanted_postings(docs, every, starts))
-    scored = bm25(rows, collection_size(docs), matching(rows, query), terms, prefixes)
-    found = scored.join(docs.select("id", "title", "source"), "id").select("id", "title", "source", F.round("score", 6).alias("score"))
+    if isinstance(docs, SearchIndex):
+        rows, collection, shown = docs.rows(every, starts), docs.collection, docs.documents
+    else:
+        # The texts are read once for the tokens that matter, which all conditions then share.
+        rows, collection, shown = cut(wanted_postings(docs, every, starts)), collection_size(docs), docs
+    scored = bm25(rows, collection, matching(rows, query), terms, prefixes)
+    found = scored.join(shown.select("id", "title", "source"), "id").select("id", "title", "source", F.round("score", 6).alias("score"))
     ordered = found.orderBy("score", "id")
     return ordered.limit(limit) if limit is not None else ordered
 
 
+def search_page(docs: DataFrame | SearchIndex, text: str, page: int = 1, per_page: int = 20, most: int = 1000) -> DataFrame:
+    """A page of the matches, each with the ``total`` that can be paged through (``most`` at most)."""
+    found = cut(search(docs, text, most))
+    total = found.agg(F.count("*").alias("total"))
+    return found.orderBy("score", "id").offset((max(page, 1) - 1) * per_page).limit(per_page).crossJoin(F.broadcast(total))
+
+
 def snippet(content: str, words: list[str], tokens: int = 40, left: str = ">>>", right: str = "<<<") -> str:
     """Up to ``tokens`` words of ``content`` around the first hit, hits between marks, ``...`` where it is cut."""
     spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", content)]
@@ -211,7 +281,7 @@ def snippet(content: str, words: list[str], tokens: int = 40, left: str = ">>>",
     return ("..." if low else "") + out + ("..." if high < len(spans) else content[at:])
 
 
-def search_with_snippets(docs: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def search_with_snippets(docs: DataFrame | SearchIndex, text: str, limit: int = 20) -> DataFrame:
     """``search`` with a snippet of the content, made for the rows of the result only."""
     words = sorted({w for m in read_query(text).wanted() for w in m.words})
 
@@ -220,4 +290,6 @@ def search_with_snippets(docs: DataFrame, text: str, limit: int = 20) -> DataFra
         return content.map(lambda c: snippet(c or "", words))
 
     found = search(docs, text, limit)
-    return found.join(docs.select("id", "content"), "id").select("id", "title", "source", "score", cut_out("content").alias("snippet")).orderBy("score", "id")
+    shown = docs.documents if isinstance(docs, SearchIndex) else docs
+    # The result has ``limit`` rows at most.
+    return shown.select("id", "content").join(F.broadcast(found), "id").select("id", "title", "source", "score", cut_out("content").alias("snippet")).orderBy("score", "id")

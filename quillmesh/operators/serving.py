@@ -53,3 +53,9 @@ def select_documents(docs: DataFrame, text: str | None = None, source_type: str
         rows = rows.where(F.contains(meta, F.lit(text.lower())))
     rows = rows.orderBy("rel_path", "id")
     return rows.limit(limit) if limit is not None else rows
+
+
+def concept_list(frequency: DataFrame, limit: int = 200) -> DataFrame:
+    """The most frequent concepts that aren't stops and have a document; ties by label, then by id."""
+    rows = frequency.where("is_stop = 0 and df >= 1").select("concept_id", "label", "df")
+    return rows.orderBy(F.desc("df"), "label", "concept_id").limit(limit)

@@ -7,10 +7,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import vector_tokens
+from quillmesh.session import cut
 
 DIMENSIONS = 4096
 EMBEDDING = 256
@@ -30,25 +31,32 @@ def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return frequency.crossJoin(F.broadcast(n_docs)).select("dim", F.log1p(F.col("n_docs") / (F.col("df") + 1)).alias("idf"))
 
 
+def _unit(weights: DataFrame) -> DataFrame:
+    """``id, dim, w`` scaled to length one; rows of a document stand together already, so nothing is shuffled."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return weights.withColumn("norm", norm).where("norm > 0").select("id", "dim", (F.col("w") / F.col("norm")).alias("w"))
+
+
 def tfidf(docs: DataFrame) -> DataFrame:
     """Unit vectors ``id, dim, w`` in sparse form; a document without tokens has no rows."""
-    counts = bucket_counts(docs)
-    # At most 4096 rows, whatever the collection.
-    weights = counts.join(F.broadcast(idf(counts, docs.agg(F.count("*").alias("n_docs")))), "dim").select("id", "dim", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    return weights.join(norms, "id").select("id", "dim", (F.col("w") / F.col("norm")).alias("w"))
+    return _tfidf(cut(bucket_counts(docs)), docs)[0]
+
+
+def _tfidf(counts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and the weights of dimensions they are made with: at most 4096 rows, whatever the collection."""
+    weights = cut(idf(counts, docs.agg(F.count("*").alias("n_docs"))))
+    return _unit(counts.join(F.broadcast(weights), "dim").select("id", "dim", (F.col("tf") * F.col("idf")).alias("w"))), weights
 
 
 def tfidf_search(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """The documents most similar to ``query``, ``id, score`` (four digits), only positive scores; ties by id."""
     spark = docs.sparkSession
-    counts = bucket_counts(docs)
-    weights = idf(counts, docs.agg(F.count("*").alias("n_docs")))
+    vectors, weights = _tfidf(cut(bucket_counts(docs)), docs)
     asked = spark.createDataFrame([(query,)], "text string").select(F.explode(vector_tokens(F.col("text"))).alias("token"))
     asked = asked.groupBy(F.conv(F.right(F.md5("token"), F.lit(3)), 16, 10).cast("int").alias("dim")).agg(F.count("*").alias("tf"))
     asked = asked.join(weights, "dim").select("dim", (F.col("tf") * F.col("idf")).alias("q"))
     length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length"))
-    scored = tfidf(docs).join(F.broadcast(asked), "dim").groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot")).crossJoin(F.broadcast(length))
+    scored = vectors.join(F.broadcast(asked), "dim").groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot")).crossJoin(F.broadcast(length))
     found = scored.select("id", F.round(F.col("dot") / F.col("length"), 4).alias("score")).where("score > 0")
     return found.orderBy(F.desc("score"), "id").limit(limit)
 
@@ -60,9 +68,7 @@ def hash_embedding(docs: DataFrame, dim: int = EMBEDDING, text: str = "content",
     words = docs.select(F.col(doc_id).alias("id"), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "").alias("words")).where("size(words) > 0")
     grams = F.transform("words", lambda w, i: F.concat_ws(" ", F.slice("words", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))))
     hashed = words.select("id", F.explode(grams).alias("gram")).select("id", (F.conv(F.right(F.sha2("gram", 256), F.lit(2)), 16, 10).cast("int") % dim).alias("dim"))
-    counts = hashed.groupBy("id", "dim").agg(F.count("*").alias("n"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
-    return counts.join(norms, "id").select("id", "dim", (F.col("n") / F.col("norm")).alias("w"))
+    return _unit(hashed.groupBy("id", "dim").agg(F.count("*").cast("double").alias("w")))
 
 
 def cosine(left: str, right: str) -> Column:
@@ -138,3 +144,13 @@ def embed_with(docs: DataFrame, engine: str, text: str = "content", doc_id: str
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "model": engine, "embedding": embed(texts)})
 
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInPandas(run, "id string, model string, embedding array<double>")
+
+
+def preferred_search(embeddings: DataFrame | None, docs: DataFrame, query: str, engine: Engine, limit: int = 10) -> DataFrame:
+    """``id, title, score`` by embeddings (id, embedding) where there are any, and by TF-IDF otherwise; titles are those of ``docs``, or the id."""
+    if embeddings is not None and not embeddings.isEmpty():
+        found = embedding_search(embeddings, engine([query])[0], limit, vec_id="id").withColumnRenamed("vec_id", "id")
+    else:
+        found = tfidf_search(docs, query, limit)
+    titled = found.join(docs.select("id", F.nullif("title", F.lit("")).alias("title")), "id", "left")
+    return titled.select("id", F.coalesce("title", "id").alias("title"), "score").orderBy(F.desc("score"), "id")

@@ -32,12 +32,13 @@ def assignments(doc_concepts: DataFrame) -> DataFrame:
     return rows.where("doc_id <> '' and concept_id <> ''").distinct()
 
 
-def current_edges(edges: DataFrame) -> DataFrame:
-    """The newest state of each edge, types in lower case, null weights as 0, without self edges."""
+def current_edges(edges: DataFrame, newest: bool = True) -> DataFrame:
+    """The newest state (or the oldest) of each edge, types in lower case, null weights as 0, without self edges."""
     rows = edges.select("src_id", "dst_id", F.lower(F.trim("edge_type")).alias("edge_type"), "weight", F.try_to_timestamp("updated_at").alias("updated_at"))
     rows = rows.where("src_id is not null and dst_id is not null and edge_type is not null and src_id <> dst_id")
-    newest = latest(rows, ["src_id", "dst_id", "edge_type"], F.desc_nulls_last("updated_at"), F.desc_nulls_last("weight"))
-    return newest.select("src_id", "dst_id", "edge_type", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    order = (F.desc_nulls_last("updated_at"), F.desc_nulls_last("weight")) if newest else (F.asc_nulls_first("updated_at"), F.asc_nulls_first("weight"))
+    state = latest(rows, ["src_id", "dst_id", "edge_type"], *order)
+    return state.select("src_id", "dst_id", "edge_type", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def current_stats(doc_stats: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions import analysis as A
 from quillmesh.functions import keys as K
 from quillmesh.functions import text as T
 from quillmesh.functions import training_records as R
@@ -17,7 +18,8 @@ from quillmesh.operators import search as S
 from quillmesh.operators import serving as W
 from quillmesh.operators import vectors as V
 from quillmesh.operators import views
-from quillmesh.session import table
+from quillmesh.session import shared_folder, table
+from quillmesh.sources.markdown import read_concepts
 from quillmesh.streaming.inbox import run_to_table, windowed_counts
 
 QUERIES = {}
@@ -28,6 +30,9 @@ CONCEPT, TYPE = "streaming-grounding", "paper"
 SYSTEM = "You answer from the document."
 
 
+_INDEXES: dict[tuple[str, str], S.SearchIndex] = {}
+
+
 class Tables:
     """Clean states of the tables under a folder, read when asked for."""
 
@@ -43,6 +48,14 @@ class Tables:
     sources = property(lambda self: views.current_sources(self.raw("sources")))
     frequency = property(lambda self: G.concept_frequency(self.concepts, self.assigned))
 
+    @property
+    def index(self) -> S.SearchIndex:
+        """The full-text index of the documents, written once for a session and a folder of tables."""
+        key = (self.spark.sparkContext.applicationId, self.root)
+        if key not in _INDEXES:
+            _INDEXES[key] = S.write_index(self.docs, f"{shared_folder(self.spark)}/search-{uuid.uuid4().hex}")
+        return _INDEXES[key]
+
 
 def query(sql: str | None = None):
     """Register a query over ``Tables`` and its SQL."""
@@ -130,55 +143,61 @@ def _ranked(ids: str, terms: str) -> str:
 @query(_q(DOCS, _TOKENS) + "select id, term, count(*) as tf from x group by 1, 2")
 def fts_postings(t: Tables) -> DataFrame:
     """How often each token stands in each document."""
-    return S.term_counts(t.docs)
+    return t.index.postings.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 @query(_ranked("select id from x where term in ('shard', 'buffer') group by 1 having count(distinct term) = 2", "case when term in ('shard', 'buffer') then term end"))
 def fts_and(t: Tables) -> DataFrame:
     """Documents with both words, ranked."""
-    return S.search(t.docs, "shard buffer", limit=None)
+    return S.search(t.index, "shard buffer", limit=None)
 
 
 @query(_ranked("select id from x where term in ('replica', 'puffer')", "case when term in ('replica', 'puffer') then term end"))
 def fts_or(t: Tables) -> DataFrame:
     """Documents with either word, ranked."""
-    return S.search(t.docs, "replica OR puffer", limit=None)
+    return S.search(t.index, "replica OR puffer", limit=None)
 
 
 @query(_ranked("select id from x where term = 'graph' and id not in (select id from x where term = 'index')", "case when term = 'graph' then term end"))
 def fts_not(t: Tables) -> DataFrame:
     """Documents with one word and without another, ranked."""
-    return S.search(t.docs, "graph NOT index", limit=None)
+    return S.search(t.index, "graph NOT index", limit=None)
 
 
 @query(_ranked("select id from x where starts_with(term, 'schem')", "case when starts_with(term, 'schem') then 'schem*' end"))
 def fts_prefix(t: Tables) -> DataFrame:
     """Documents with words of a beginning, ranked."""
-    return S.search(t.docs, "schem*", limit=None)
+    return S.search(t.index, "schem*", limit=None)
 
 
 @query(_ranked("select a.id from x a join x b on a.id = b.id and a.col = b.col and b.pos = a.pos + 1 where a.term = 'argue' and b.term = 'that'", "case when term in ('argue', 'that') then term end"))
 def fts_phrase(t: Tables) -> DataFrame:
     """Documents with two words next to each other, ranked."""
-    return S.search(t.docs, '"argue that"', limit=None)
+    return S.search(t.index, '"argue that"', limit=None)
 
 
 @query(_ranked("select a.id from x a join x b on a.id = b.id and a.col = b.col and abs(b.pos - a.pos) - 1 <= 3 where a.term = 'version' and b.term = 'updates'", "case when term in ('version', 'updates') then term end"))
 def fts_near(t: Tables) -> DataFrame:
     """Documents with two words at most three apart, ranked."""
-    return S.search(t.docs, "NEAR(version updates, 3)", limit=None)
+    return S.search(t.index, "NEAR(version updates, 3)", limit=None)
 
 
 @query(_ranked("select id from x where col = 'title' and term = 'shard'", "case when term = 'shard' then term end"))
 def fts_column(t: Tables) -> DataFrame:
     """Documents with a word in their title, ranked."""
-    return S.search(t.docs, "title:shard", limit=None)
+    return S.search(t.index, "title:shard", limit=None)
+
+
+@query("with r as (" + _ranked("select id from x where term in ('replica', 'puffer')", "case when term in ('replica', 'puffer') then term end") + ") select *, least(1000, count(*) over ()) as total from r order by score, id limit 20 offset 20")
+def fts_page(t: Tables) -> DataFrame:
+    """The second page of a search, with how much there is in all."""
+    return S.search_page(t.index, "replica OR puffer", page=2)
 
 
 @query()
 def fts_snippets(t: Tables) -> DataFrame:
     """The best twenty with a piece of their content."""
-    return S.search_with_snippets(t.docs, "shard buffer")
+    return S.search_with_snippets(t.index, "shard buffer")
 
 
 # --- keys and hashes ------------------------------------------------------
@@ -186,10 +205,20 @@ def fts_snippets(t: Tables) -> DataFrame:
 _U = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?'"
 
 
+def _dec(x: str) -> str:
+    return f"url_decode(replace({x}, '+', ' '))"
+
+
+def _enc(x: str) -> str:
+    return f"replace(url_encode({x}), '%20', '+')"
+
+
 def _canonical(u: str) -> str:
     scheme, host, path, args = (f"regexp_extract({u}, {_U}, {g})" for g in (1, 2, 3, 4))
     host = f"lower(regexp_replace(regexp_replace({host}, '^.*@', ''), ':[0-9]*$', ''))"
-    args = f"array_to_string(list_filter(string_split({args}, '&'), lambda p: contains(p, '=') and not regexp_matches(p, '=$') and not starts_with(lower(split_part(p, '=', 1)), 'utm_') and lower(split_part(p, '=', 1)) not in ('ref', 'source', 'fbclid', 'gclid')), '&')"
+    pairs = f"list_transform(list_filter(string_split({args}, '&'), lambda p: regexp_matches(p, '=.')), lambda p: {{'k': {_dec("split_part(p, '=', 1)")}, 'v': {_dec("substr(p, strpos(p, '=') + 1)")}}})"
+    wanted = f"list_filter({pairs}, lambda p: not starts_with(lower(p.k), 'utm_') and lower(p.k) not in ('ref', 'source', 'fbclid', 'gclid'))"
+    args = f"array_to_string(list_transform({wanted}, lambda p: {_enc('p.k')} || '=' || {_enc('p.v')}), '&')"
     return f"((case when {scheme} <> '' then lower({scheme}) || ':' else '' end) || (case when {host} <> '' then '//' || {host} else '' end) || regexp_replace({path}, '/+$', '') || (case when {args} <> '' then '?' || {args} else '' end))"
 
 
@@ -217,6 +246,13 @@ def key_canonical_urls(t: Tables) -> DataFrame:
     return t.raw("docs").where("source is not null").select(F.col("source").alias("url")).distinct().select("url", K.canonical_url(F.col("url")).alias("canonical"))
 
 
+@query(_q(SOURCES, DOCS, f"k as (select {_KEY} as source_key, min(id) as doc_id from d group by 1)") + "select source_key, doc_id from k where source_key in (select source_key from l)")
+def key_documents(t: Tables) -> DataFrame:
+    """The first document of each key that the ledger knows."""
+    keyed = t.docs.select("id", K.source_key(F.col("source_type"), F.col("source"), F.col("title"), F.col("id")).alias("source_key"))
+    return I.find_by_source_key(keyed, t.sources.select("source_key"))
+
+
 @query(_q(DOCS) + f"select id, left(sha256(id), 2) || '/' || substr(sha256(id), 3, 2) || '/' || id || '.md' as path, {_TITLE} as title_hash from d")
 def key_paths(t: Tables) -> DataFrame:
     """Storage path and title hash of each document."""
@@ -359,7 +395,13 @@ def graph_concept_pairs(t: Tables) -> DataFrame:
     return G.concept_pairs(t.docs, t.concepts, t.assigned)
 
 
-@query()
+_GREEDY = """o as (select c1, c2, n, row_number() over (order by n desc, c1, c2) as i from p),
+     r as (select 0::bigint as i, map(['']::varchar[], [0]) as used, null::varchar as a, null::varchar as b, null::bigint as w
+       union all select o.i, case when free then map_concat(used, map([c1, c2], [coalesce(used[c1], 0) + 1, coalesce(used[c2], 0) + 1])) else used end, case when free then c1 end, case when free then c2 end, n
+       from (select o.i, o.c1, o.c2, o.n, r.used, coalesce(r.used[o.c1], 0) < 3 and coalesce(r.used[o.c2], 0) < 3 as free from r join o on o.i = r.i + 1) o)"""
+
+
+@query("with recursive " + ", ".join((DOCS, HUB, FREQUENCY, _USABLE, _PAIRS, _GREEDY)) + " select a as src_id, b as dst_id, w::double as weight from r where a is not null union all select b, a, w::double from r where a is not null")
 def graph_cooccurrence_edges(t: Tables) -> DataFrame:
     """Co-occurrence edges with at most three from a concept, accepted in falling order."""
     return G.cooccurrence_edges(t.docs, t.concepts, t.assigned, top_k=3)
@@ -398,13 +440,47 @@ def graph_notes(t: Tables) -> DataFrame:
 
 @query(_q(MEMBERS) + "select concept_id, count(*) as df from m group by 1")
 def graph_incremental(t: Tables) -> DataFrame:
-    """Frequencies after documents whose content isn't what their stored hash says were taken out and in again."""
-    changed = t.docs.where(~K.bare_hash(F.col("content_hash")).eqNullSafe(K.content_hash(F.col("content")))).select(F.col("id").alias("doc_id"))
-    fresh = t.assigned.join(changed, "doc_id", "left_semi")
-    again = G.replace_documents(t.assigned, fresh, changed)
+    """Frequencies of a graph that knew primary concepts only, after the documents with other ones were read again."""
+    before = views.assignments(t.raw("doc_concepts").where("lower(trim(role)) = 'primary'"))
+    changed = views.assignments(t.raw("doc_concepts").where("role is null or lower(trim(role)) <> 'primary'")).select("doc_id").distinct()
+    again = G.replace_documents(before, t.assigned.join(changed, "doc_id", "left_semi"), changed)
     return again.groupBy("concept_id").agg(F.count("*").alias("df"))
 
 
+@query(_q(EDGES) + "select src_id, dst_id, edge_type, weight from e")
+def graph_edges_updated(t: Tables) -> DataFrame:
+    """The edges of the oldest state, brought up to date with the newest of those that changed."""
+    oldest, newest = views.current_edges(t.raw("edges"), newest=False), t.edges
+    changed = newest.exceptAll(oldest.select(*newest.columns))
+    return I.upsert(oldest, changed, "src_id", "dst_id", "edge_type")
+
+
+_ENTITY_EDGES = "select distinct m.doc_id as src_id, m.concept_id as dst_id, 'entity' as edge_type, 1.0::double as weight from m join concepts c on lower(trim(c.concept_id)) = m.concept_id and c.kind = 'entity'"
+_RELATED = """select src_id, dst_id, 'related' as edge_type, round(weight, 6) as weight from (select *, row_number() over (partition by src_id order by round(weight, 9) desc, dst_id) as place from
+     (select a.doc_id as src_id, m.doc_id as dst_id, sum(1.0::double / greatest(a.df, 1)) as weight from a join m on m.concept_id = a.concept_id and m.doc_id <> a.doc_id group by 1, 2)) where place <= 10"""
+
+
+@query(_q(DOCS, HUB, FREQUENCY, _ACTIVE) + f"{_RELATED} union all {_ENTITY_EDGES} union all select distinct id, {_KEY}, 'source', 1.0::double from d")
+def graph_build(t: Tables) -> DataFrame:
+    """Edges of a whole build (co-occurrence edges are a query of their own)."""
+    keyed = t.docs.withColumn("source_key", K.source_key(F.col("source_type"), F.col("source"), F.col("title"), F.col("id")))
+    built = G.full_build(keyed, t.concepts, t.assigned, t.stats)
+    return built["edges"].where("edge_type <> 'cooccurrence'").withColumn("weight", F.round("weight", 6))
+
+
+@query(_q(DOCS, HUB, FREQUENCY, STATS) + f"""select 'concepts' as name, count(*) as n, sum(df)::bigint as total from f union all select 'doc_concepts', count(*), count(distinct concept_id) from m
+     union all select 'doc_stats', count(*), sum(has_source)::bigint from s""")
+def graph_build_tables(t: Tables) -> DataFrame:
+    """Rows and totals of the tables of an incremental build over an older one."""
+    keyed = t.docs.withColumn("source_key", K.source_key(F.col("source_type"), F.col("source"), F.col("title"), F.col("id")))
+    older = views.assignments(t.raw("doc_concepts").where("lower(trim(role)) = 'primary'"))
+    changed = views.assignments(t.raw("doc_concepts").where("role is null or lower(trim(role)) <> 'primary'")).select("doc_id").distinct()
+    built = G.incremental_build({"doc_concepts": older}, keyed, t.concepts, t.assigned.join(changed, "doc_id", "left_semi"), changed, t.stats)
+    totals = {"concepts": F.sum("df"), "doc_concepts": F.count_distinct("concept_id"), "doc_stats": F.sum("has_source")}
+    rows = [built[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), total.cast("long").alias("total")) for name, total in totals.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(_q(DOCS) + f"select id as src_id, {_KEY} as dst_id, 'source' as edge_type, 1.0::double as weight from d union select distinct m.doc_id, m.concept_id, 'entity', 1.0::double from (select distinct trim(doc_id) as doc_id, lower(trim(concept_id)) as concept_id from doc_concepts where trim(coalesce(doc_id, '')) <> '') m join concepts c on lower(trim(c.concept_id)) = m.concept_id and c.kind = 'entity'")
 def graph_document_edges(t: Tables) -> DataFrame:
     """Edges from documents to entities and sources."""
@@ -574,6 +650,12 @@ def list_concept(t: Tables) -> DataFrame:
     return W.concept_documents(t.docs, t.assigned, CONCEPT)
 
 
+@query(_q(FREQUENCY) + "select concept_id, label, df from f where is_stop = 0 and df >= 1 order by df desc, label, concept_id limit 200")
+def list_concepts(t: Tables) -> DataFrame:
+    """The two hundred most frequent concepts."""
+    return W.concept_list(t.frequency)
+
+
 @query(_q(DOCS) + "select id, rel_path from d where source_type = 'paper' and (contains(lower(title), 'papers') or contains(lower(source), 'papers') or contains(lower(id), 'papers'))")
 def list_selected(t: Tables) -> DataFrame:
     """Documents of a type whose metadata mention a word."""
@@ -603,11 +685,36 @@ def records_instruction(t: Tables) -> DataFrame:
     return R.distinct_pairs(t.raw("training_pairs")).select("pair_id", *R.instruction_record())
 
 
+_GENERATED = (
+    "p as (select * from (select pair_id, doc_id, difficulty, tags, instruction, context, response, row_number() over (partition by lower(instruction) order by pair_id) as rn from (select pair_id, doc_id, difficulty, tags, "
+    + ", ".join(f"{_CLEAN.format(c)} as {c}" for c in ("instruction", "context", "response"))
+    + " from training_pairs) where instruction <> '' and response <> '') where rn = 1)"
+)
+
+
+@query(_q(_GENERATED) + "select pair_id, doc_id, instruction, context, response, coalesce(difficulty, '') as difficulty, array_to_string(coalesce(tags, []), ',') as tags from p")
+def records_generated(t: Tables) -> DataFrame:
+    """Pairs read from model answers (each pair written as an answer first), with difficulty, tags and document."""
+    pair = F.to_json(F.array(F.struct("instruction", "context", "response", "difficulty", "tags")))
+    answers = t.raw("training_pairs").select("pair_id", "doc_id", F.concat(F.lit("Here they are [as asked]:\n```json\n"), pair, F.lit("\n```")).alias("answer"))
+    read = R.read_generated(answers, order="pair_id")
+    return read.select(F.col("at").alias("pair_id"), "doc_id", "instruction", "context", "response", "difficulty", F.array_join("tags", ",").alias("tags"))
+
+
+@query(_q(DOCS, MEMBERS) + "select m.doc_id, m.concept_id as name from m join d on d.id = m.doc_id union all select id, 'of-old' from d where id not in (select doc_id from m)")
+def analysis_written(t: Tables) -> DataFrame:
+    """Concepts written into the front matter of each document as an analysis, and read from there again; without one the old stay."""
+    rows = t.raw("doc_concepts").select(F.trim("doc_id").alias("doc_id"), F.lower(F.trim("concept_id")).alias("id"), (F.lower(F.trim("role")) == "primary").alias("main")).where("doc_id <> '' and id <> ''").distinct()
+    ref = F.struct("id", F.col("id").alias("label"))
+    found = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("main"), ref))).alias("primary_concepts"), F.sort_array(F.collect_list(F.when(~F.coalesce("main", F.lit(False)), ref))).alias("candidate_concepts"))
+    texts = t.docs.select(F.col("id").alias("doc_id"), F.concat(F.lit("---\nid: "), "id", F.lit("\ntitle: "), T.yaml_scalar(F.col("title")), F.lit("\nconcepts:\n  - of-old\n---\n\n"), "content").alias("content"))
+    return read_concepts(A.write_analyses(texts, found)).select("doc_id", "name").distinct()
+
+
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_event_windows(t: Tables) -> DataFrame:
     """Events per hour and type, counted by a stream that reads the table to its end."""
     schema = t.raw("events").schema
     # Written as a pattern, the path may be a file as well as a folder.
     rows = t.spark.readStream.schema(schema).parquet(f"{t.root}/[e]vents.parquet")
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or t.spark.conf.get("spark.checkpoint.dir", None)
-    return run_to_table(windowed_counts(rows), f"{shared or tempfile.mkdtemp(prefix='quillmesh-')}/streams")
+    return run_to_table(windowed_counts(rows), f"{shared_folder(t.spark)}/streams")

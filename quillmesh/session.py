@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "quillmesh", **conf: str) -> SparkSession:
@@ -30,21 +29,23 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that every executor reaches: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where neither it nor a context folder is set (tests on one machine) a
-    temporary one is made.
+    Only a session on one machine may go without, and gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="quillmesh-")
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmesh-"))
-    return df.checkpoint(eager)
+        context.setCheckpointDir(named)
+    return named
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast when the counted ``rows`` prove the side small; leave it to the planner otherwise."""
-    return F.broadcast(df) if rows <= limit else df
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager)

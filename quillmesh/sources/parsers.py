@@ -22,12 +22,24 @@ VIDEO = "title string, author_name string, thumbnail_url string"
 def classify_paper(text: Column) -> Column:
     """``kind, identifier`` of what was typed for a paper: an arXiv id, a DOI, or neither (raw)."""
     bare = F.trim(text)
-    is_arxiv = F.rlike(bare, F.lit(r"(?i)^(?:https?://)?(?:www\.)?(?:arxiv\.org/(?:abs|pdf)/|arxiv:)?(?:\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)(?:\.pdf)?$"))
+    is_arxiv = F.rlike(bare, F.lit(r"(?i)^(?:https?://)?(?:www\.)?(?:arxiv\.org/(?:abs|pdf|html)/|arxiv:)?(?:\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)(?:\.pdf)?$"))
     is_doi = F.rlike(bare, F.lit(r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:)?10\.\d{4,9}/\S+$"))
     kind = F.when(is_arxiv, "arxiv").when(is_doi, "doi").otherwise("raw")
     return F.struct(kind.alias("kind"), F.when(is_arxiv, arxiv_id(bare)).when(is_doi, doi(bare)).otherwise(bare).alias("identifier"))
 
 
+def doi_records(captured: DataFrame, record: str = "record") -> DataFrame:
+    """Title, authors, year, summary and DOI of captured citation records (CSL JSON); a broken record leaves empty fields."""
+    # Fields of a citation record.
+    schema = "title string, DOI string, abstract string, author array<struct<given:string,family:string>>, issued struct<`date-parts`:array<array<int>>>"
+    parsed = captured.withColumn("_d", F.from_json(record, schema))
+    names = F.transform("_d.author", lambda a: F.concat_ws(" ", a["given"], a["family"]))
+    return parsed.select(
+        *captured.columns, F.coalesce("_d.title", F.lit("")).alias("title"), F.coalesce(F.array_join(names, ", "), F.lit("")).alias("authors"),
+        F.col("_d.issued.date-parts")[0][0].cast("string").alias("year"), F.trim(F.regexp_replace(F.coalesce("_d.abstract", F.lit("")), "<[^>]*>", " ")).alias("summary"), F.lower("_d.DOI").alias("doi"),
+    )
+
+
 def paper_records(feeds: DataFrame, feed: str = "feed") -> DataFrame:
     """Title, summary, authors and year of captured Atom entries."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +34,32 @@ def read_blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path, length, modified, content`` of raw files on any file system that Spark reaches."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return rows.select("path", "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def put_blobs(blobs: DataFrame, root: str) -> DataFrame:
+    """Store ``content`` bytes below ``root``, a folder all executors reach, under the digest of what they hold; gives ``digest, path, length``.
+
+    A blob has two levels of folders, is written under another name first and
+    then renamed, so that equal or repeated blobs and lost tasks do no harm.
+    """
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            rows = []
+            for digest, content in zip(batch["digest"], batch["content"]):
+                path = f"{base}/{digest[:2]}/{digest[2:4]}/{digest}"
+                store.create_dir(path.rsplit("/", 1)[0])
+                unfinished = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(unfinished) as out:
+                    out.write(content)
+                store.move(unfinished, path)
+                rows.append((digest, path, len(content)))
+            yield pd.DataFrame(rows, columns=["digest", "path", "length"])
+
+    distinct = blobs.where("content is not null").select(F.sha2("content", 256).alias("digest"), "content").dropDuplicates(["digest"])
+    return distinct.mapInPandas(put, "digest string, path string, length long")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmesh.operators.ingest import inbox_documents, ingest_decisions, update_ledger
+from quillmesh.operators.vectors import hash_embedding
 from quillmesh.session import cut
 
 
@@ -18,11 +20,13 @@ def inbox_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("content"))
 
 
-def ingest_stream(stream: DataFrame, ledger_path: str, decisions_path: str, checkpoint: str, once: bool = True, every: str = "300 seconds") -> StreamingQuery:
+def ingest_stream(stream: DataFrame, ledger_path: str, decisions_path: str, checkpoint: str, once: bool = True, every: str = "300 seconds", vectors_path: str | None = None) -> StreamingQuery:
     """Run ingestion over a stream of files: decisions are appended, the ledger is rewritten as a new version per batch.
 
     Each batch writes to a path named by its number, so a batch that is run
-    again after a failure replaces its own output and nothing else.
+    again after a failure replaces its own output and nothing else.  The ledger
+    gets the time of the batch.  With ``vectors_path`` the hash embeddings of
+    new and changed documents are written as well, so that search sees them.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -30,7 +34,11 @@ def ingest_stream(stream: DataFrame, ledger_path: str, decisions_path: str, chec
         before = spark.read.parquet(f"{ledger_path}/v={number}")
         decided = cut(ingest_decisions(inbox_documents(rows), before))
         decided.write.mode("overwrite").parquet(f"{decisions_path}/batch={number}")
-        update_ledger(before, decided, "1970-01-01T00:00:00+00:00").write.mode("overwrite").parquet(f"{ledger_path}/v={number + 1}")
+        if vectors_path:
+            changed = decided.where("action <> 'skip'")
+            hash_embedding(changed, text="body", doc_id="doc_id").write.mode("overwrite").parquet(f"{vectors_path}/batch={number}")
+        now = datetime.now(UTC).isoformat(timespec="seconds")
+        update_ledger(before, decided, now).write.mode("overwrite").parquet(f"{ledger_path}/v={number + 1}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -9,8 +9,8 @@ from quillmesh.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", 4, "tests", spark__driver__memory="4g")
+def spark(tmp_path_factory):
+    session = build_session("local[4]", 4, "tests", spark__driver__memory="4g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.operators import graph as G
 from quillmesh.operators import health as H
@@ -118,3 +119,22 @@ def test_notes(spark):
     notes = {r["concept_id"]: r["note"] for r in got.select("concept_id", G.concept_note(G.F.col("label"), G.F.col("df"), G.F.col("titles")).alias("note")).collect()}
     assert set(notes) == {"rag", "knowledge-graph"}
     assert notes["knowledge-graph"] == "# knowledge-graph\n\nAppears in 2 document(s).\n\n## Documents\n- T d1\n- T d3\n"
+
+
+def test_an_incremental_build_equals_a_full_one(spark):
+    sets = {"d1": {"rag", "graph-rag", "acme"}, "d2": {"rag", "graph-rag"}, "d3": {"rag", "cooking"}, "d4": {"cooking"}}
+    older = {"d1": {"cooking"}, "d2": {"rag", "graph-rag"}, "d4": {"cooking"}, "gone": {"rag"}}
+    names = concepts(spark, ["rag", "graph-rag", "cooking"]).unionByName(spark.createDataFrame([("acme", "Acme", "entity", 0)], "concept_id string, label string, kind string, is_stop int"))
+    keyed = docs(spark, sets).withColumn("source_key", F.concat(F.lit("memo:"), "id"))
+    stats = spark.createDataFrame([(d, "web", 0, 0.0) for d in sets], "doc_id string, source_type string, has_source int, importance double")
+    full = G.full_build(keyed, names, assigned(spark, sets), stats)
+    fresh = assigned(spark, {d: sets[d] for d in ("d1", "d3")})
+    again = G.incremental_build({"doc_concepts": assigned(spark, older)}, keyed, names, fresh, spark.createDataFrame([("gone",)], "doc_id string"), stats)
+    for name in full:
+        assert sorted(map(str, full[name].collect())) == sorted(map(str, again[name].collect())), name
+    assert {r["edge_type"] for r in full["edges"].collect()} == {"related", "cooccurrence", "entity", "source"}
+
+
+def test_edges_of_deleted_documents_leave(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src_id string, dst_id string")
+    assert [tuple(r) for r in G.drop_documents(edges, spark.createDataFrame([("b",)], "doc_id string")).collect()] == [("c", "d")]

@@ -1,8 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import ingest as I
+from quillmesh.operators.health import file_problems
+from quillmesh.session import shared_folder
 from quillmesh.sources import config, markdown, parsers, sinks
 from quillmesh.streaming.inbox import inbox_stream, ingest_stream, windowed_counts
 
@@ -101,3 +104,58 @@ def test_inbox_stream_equals_a_batch(spark, tmp_path):
 def test_windows_of_a_table(spark):
     events = spark.sql("select timestamp_ntz'2024-01-01 00:10:00' as ts, 'x' as event_type, 1.5D as value union all select timestamp_ntz'2024-01-01 00:50:00', 'x', 2D union all select null, 'x', 1D")
     assert [(r["n"], r["total"]) for r in windowed_counts(events).collect()] == [(2, 3.5)]
+
+
+def test_the_ledger_gets_the_time_of_its_batch(spark, tmp_path):
+    inbox = files(tmp_path / "in", {"one.md": "# One\n\nbody of one"})
+    ledger = spark.createDataFrame([], LEDGER)
+    ledger.write.parquet(f"{tmp_path}/ledger/v=0")
+    ingest_stream(inbox_stream(spark, inbox), f"{tmp_path}/ledger", f"{tmp_path}/decisions", f"{tmp_path}/check", vectors_path=f"{tmp_path}/vectors").awaitTermination()
+    (row,) = spark.read.parquet(f"{tmp_path}/ledger/v=1").collect()
+    assert row["updated_at"] > "2024" and row["created_at"] == row["updated_at"]
+    assert {r["id"] for r in spark.read.parquet(f"{tmp_path}/vectors").collect()} == {row["last_doc_id"]}
+
+
+def test_upsert_and_lookup(spark):
+    old, new = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
+    assert {tuple(r) for r in I.upsert(old, new, "k").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    keyed = spark.createDataFrame([("d2", "url:x"), ("d1", "url:x"), ("d3", "url:y")], "id string, source_key string")
+    asked = spark.createDataFrame([("url:x",), ("url:z",), (None,)], "source_key string")
+    assert [tuple(r) for r in I.find_by_source_key(keyed, asked).collect()] == [("url:x", "d1")]
+
+
+def test_blobs_are_put_once(spark, tmp_path):
+    blobs = spark.createDataFrame([(b"one",), (b"one",), (b"two",), (None,), (b"",)], "content binary")
+    for _ in range(2):
+        put = sinks.put_blobs(blobs, str(tmp_path)).collect()
+    assert sorted(r["length"] for r in put) == [0, 3, 3] and all(open(r["path"], "rb").read() in (b"one", b"two", b"") for r in put)
+    # Empty files are stored, and skipped when files are read.
+    assert sinks.read_blobs(spark, str(tmp_path)).count() == 2
+
+
+def test_more_papers(spark):
+    typed = spark.createDataFrame([("https://arxiv.org/html/2401.12345v2",), ("raw text",)], "t string")
+    assert [tuple(r["p"]) for r in typed.select(parsers.classify_paper(F.col("t")).alias("p")).collect()] == [("arxiv", "2401.12345v2"), ("raw", "raw text")]
+    record = json.dumps({"title": "On x", "DOI": "10.1/AB", "author": [{"given": "A", "family": "B"}], "issued": {"date-parts": [[2020, 1]]}, "abstract": "<p>Short</p>"})
+    got = [tuple(r)[1:] for r in parsers.doi_records(spark.createDataFrame([(record,), ("{",)], "record string")).collect()]
+    assert got == [("On x", "A B", "2020", "Short", "10.1/ab"), ("", "", None, "", None)]
+
+
+def test_problems_of_files(spark):
+    whole = "---\nid: a\ntitle: t\nsource_type: web\nsource_key: k\ncontent_hash: h\nanalysis:\n  confidence: 1\n---\n\nx"
+    rows = spark.createDataFrame([("a", whole), ("b", whole.replace("title: t\n", "")), ("c", "none"), ("d", None)], "path string, content string")
+    assert {tuple(r) for r in file_problems(rows).collect()} == {("b", "no title"), ("c", "no front matter"), ("c", "no analysis"), ("d", "no front matter")}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session)

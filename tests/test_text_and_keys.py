@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import analysis as A
 from quillmesh.functions import keys as K
 from quillmesh.functions import text as T
+from quillmesh.functions import training_records as R
 from quillmesh.operators import search as S
 from quillmesh.operators import vectors as V
 
@@ -40,6 +41,11 @@ def test_canonical_url_keeps_order_and_drops_blank(spark):
     assert column(spark, urls, K.canonical_url) == ["https://a.b?z=1&x=2", "a.b/c", "", None]
 
 
+def test_canonical_url_encodes_parameters_anew(spark):
+    urls = ["https://a.b/p?a=b=", "https://a.b/p?q=a%20b&r=c+d", "https://a.b/p?x", "https://a.b/p?k=%E3%81%82*~", "https://a.b/p?t=100%&u=1"]
+    assert column(spark, urls, K.canonical_url) == ["https://a.b/p?a=b%3D", "https://a.b/p?q=a+b&r=c+d", "https://a.b/p", "https://a.b/p?k=%E3%81%82%2A~", "https://a.b/p?t=100%25&u=1"]
+
+
 def test_identifiers(spark):
     assert column(spark, ["https://youtu.be/abcdefghijk", "https://www.youtube.com/watch?t=1&v=abcdefghijk", "https://www.youtube.com/shorts/abcdefghijk", "https://a.b"], K.video_id) == ["abcdefghijk"] * 3 + [None]
     assert column(spark, ["https://github.com/a/b.git", "git@github.com:a/b.git", "a/b", "x"], K.repo_name) == ["a/b", "a/b", "a/b", None]
@@ -109,6 +115,35 @@ def test_empty_queries_and_tables(spark, docs):
     assert S.search(docs.limit(0), "shard").count() == 0
 
 
+def test_a_stored_index_answers_as_documents_do(spark, docs, tmp_path):
+    index = S.write_index(docs, str(tmp_path / "index"))
+    for text in ("parser", "pars*", "s*", "index OR parser", "index NOT parser", "title:parser"):
+        assert sorted(map(tuple, S.search(index, text, limit=None).collect())) == sorted(map(tuple, S.search(docs, text, limit=None).collect())), text
+    empty = S.write_index(docs.limit(0), str(tmp_path / "none"))
+    assert S.search(empty, "parser").count() == 0 and S.search_page(empty, "parser").count() == 0
+
+
+def test_pages_of_a_search(spark):
+    rows = spark.createDataFrame([(f"d{i:02}", "parser", "", "word " * i) for i in range(45)], "id string, title string, source string, content string")
+    pages = [S.search_page(rows, "parser", page=i).collect() for i in (1, 2, 3, 4)]
+    assert [len(p) for p in pages] == [20, 20, 5, 0] and {r["total"] for p in pages for r in p} == {45}
+    assert [r["id"] for p in pages for r in p] == [r["id"] for r in S.search(rows, "parser", limit=None).collect()]
+
+
+def test_parentheses_are_refused():
+    with pytest.raises(ValueError):
+        S.read_query("(a OR b) c")
+    assert S.read_query("NEAR(a b, 3)").wanted()[0].near == 3
+
+
+def test_engine_preference(spark):
+    rows = spark.createDataFrame([("a", "One", "schema trace"), ("b", "", "buffer")], "id string, title string, content string")
+    by_words = V.preferred_search(None, rows, "schema trace", lambda texts: [[1.0, 0.0]] * len(texts)).collect()
+    assert [(r["id"], r["title"]) for r in by_words] == [("a", "One")]
+    stored = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [0.0, 1.0])], "id string, embedding array<double>")
+    assert [(r["id"], r["title"], r["score"]) for r in V.preferred_search(stored, rows, "x", lambda texts: [[1.0, 0.0]] * len(texts)).collect()] == [("b", "b", 1.0)]
+
+
 def test_snippet():
     assert S.snippet("one two three four", ["three"], tokens=2) == "...>>>three<<< four"
     assert S.snippet("", ["x"]) == "" and S.snippet("a b", ["z"]) == "a b"
@@ -154,3 +189,48 @@ def test_analysis(spark):
 
     done = {r["doc_id"]: (r["answer"], r["error"]) for r in A.analyse(spark.createDataFrame([("1", "good"), ("2", "bad")], "doc_id string, prompt string"), model).collect()}
     assert done == {"1": ("ok", None), "2": (None, "no")}
+
+
+def test_generated_pairs(spark):
+    first = 'Here [you] go: ```json [{"instruction": " What? ", "response": "This.", "difficulty": "easy", "tags": ["a"]}, 7, {"instruction": "", "response": "x"}] ```'
+    second = '[{"instruction": "what?", "response": "again"}, {"instruction": "How?", "context": "c", "response": "So."}]'
+    answers = spark.createDataFrame([(2, "d2", second), (1, "d1", first), (3, "d3", "no pairs"), (4, "d4", None)], "n long, doc_id string, answer string")
+    got = {r["instruction"]: (r["doc_id"], r["context"], r["response"], r["difficulty"], r["tags"]) for r in R.read_generated(answers, "n").collect()}
+    assert got == {"What?": ("d1", "", "This.", "easy", ["a"]), "How?": ("d2", "c", "So.", "", [])}
+    assert tuple(R.generation_counts(answers, R.read_generated(answers, "n")).first()) == (4, 4, 2)
+
+
+def test_prompts(spark):
+    row = spark.createDataFrame([("T", "paper", None, "b" * 5000)], "t string, s string, m string, b string")
+    text = row.select(R.training_prompt("{title}|{source_type}|{summary}|{n_pairs}|{body}", F.col("t"), F.col("s"), F.col("m"), F.lit("x"), F.col("b"))).first()[0]
+    assert text == "T|paper||5|" + "b" * 4000
+    known = {"authors": F.lit("A, B"), "doi": F.lit(""), "description": F.lit("tool"), "language": F.lit("C")}
+    headed = [row.select(A.with_header(F.lit(kind), F.lit("body"), **known)).first()[0] for kind in ("paper", "repo", "web")]
+    assert headed == ["Authors: A, B\n\nbody", "Description: tool\nLanguage: C\n\nbody", "body"]
+
+
+def test_an_analysis_is_written_and_replaced():
+    import yaml
+
+    text = "---\nid: a\ntitle: 'x: y'\nsummary: old\nconcepts:\n  - b\n\n  - c\n# note\nrating: 2\n---\n\nbody\n---\nrest"
+    found = {"summary": "s: t", "confidence": 0.5, "primary_concepts": [{"id": "k", "label": "K: k"}], "candidate_concepts": [], "entities": [{"id": "e", "label": "E"}], "display_tags": ["t"]}
+    for _ in range(2):
+        text = A.analysed_text(text, found)
+    meta = yaml.safe_load(text.split("---")[1])
+    assert meta["concepts"] == {"primary": [{"id": "concept:k", "label": "K: k", "weight": 1.0}], "entities": [{"id": "e", "label": "E"}]}
+    assert (meta["id"], meta["title"], meta["summary"], meta["rating"], meta["tags_display"]) == ("a", "x: y", "s: t", 2, ["t"]) and meta["analysis"]["confidence"] == 0.5
+    assert text.endswith("\n---\n\nbody\n---\nrest") and A.analysed_text("no front matter", found) == "no front matter"
+
+
+def test_a_document_is_edited():
+    text = A.edited_text("---\nid: a\n---\n\nbody", memo=" m ", rating="4")
+    assert text == "---\nid: a\nmemo: m\nrating: 4.0\n---\n\nbody\n"
+    assert A.edited_text(text, memo="", rating="many") == "---\nid: a\nrating: 4.0\n---\n\nbody\n"
+
+
+def test_analysis_rows(spark):
+    ref = "array<struct<id:string,label:string>>"
+    found = spark.createDataFrame([("d", [("a", "A")], [("b", "B")], 0.0), ("e", [], [], None)], f"doc_id string, primary_concepts {ref}, candidate_concepts {ref}, confidence double")
+    assert {tuple(r) for r in A.concept_rows(found).collect()} == {("d", "a", "primary", 1.0), ("d", "b", "candidate", 0.5)}
+    rows = spark.createDataFrame([("d",), ("e",), ("f",)], "doc_id string")
+    assert {r["doc_id"] for r in A.without_analysis(rows, found).collect()} == {"e", "f"}
