@@ -21,8 +21,9 @@ from quillmesh.session import cut
 
 COLUMNS = ("title", "source", "content")
 K1, B = 1.2, 0.75
-#: Folders of a stored index.
-BUCKETS = 64
+#: Folders of a stored index, and its tables.
+BUCKETS = 16
+DOCUMENTS, COLLECTION = "id string, title string, source string, content string", "n long, average double"
 POSTINGS = "id string, length int, at int, col string, pos int, term string, bucket int"
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
@@ -179,11 +180,11 @@ class SearchIndex:
 
     @property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/documents")
+        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/documents")
 
     @property
     def collection(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/collection")
+        return self.spark.read.schema(COLLECTION).parquet(f"{self.path}/collection")
 
     @property
     def postings(self) -> DataFrame:
@@ -208,7 +209,7 @@ def write_index(docs: DataFrame, path: str) -> SearchIndex:
     spark = docs.sparkSession
     docs.select("id", *COLUMNS).write.mode("overwrite").parquet(f"{path}/documents")
     length = F.size("title") + F.size("source") + F.size("content")
-    split = spark.read.parquet(f"{path}/documents").select("id", *(search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in COLUMNS)).withColumn("length", length)
+    split = SearchIndex(spark, path).documents.select("id", *(search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in COLUMNS)).withColumn("length", length)
     rows = split.select("id", "length", F.posexplode(F.concat(*map(_placed, COLUMNS))).alias("at", "e")).select("id", "length", "at", "e.*").withColumn("bucket", _bucket(F.left("term", F.lit(2))))
     # Rebalancing splits what a frequent beginning would make too large, and joins what is small.
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
