@@ -194,7 +194,16 @@ def fts_page(t: Tables) -> DataFrame:
     return S.search_page(t.index, "replica OR puffer", page=2)
 
 
-@query()
+_HIT = _FOLDED.format("x") + " in ('shard', 'buffer')"
+_SNIPPETS = f"""with r as ({_ranked("select id from x where term in ('shard', 'buffer') group by 1 having count(distinct term) = 2", "case when term in ('shard', 'buffer') then term end")} order by score, id limit 20),
+    s as (select r.*, c.content, regexp_extract_all(c.content, '[\\p{{L}}\\p{{N}}]+') as w, string_split_regex(c.content, '[\\p{{L}}\\p{{N}}]+') as g from r join (with {DOCS} select id, content from d) c on c.id = r.id),
+    l as (select *, len(w) as n, greatest(0, least(coalesce(list_position(list_transform(w, lambda x: {_HIT}), true), 1) - 1 - 10, len(w) - 40)) as low from s)
+    select id, title, source, score, case when n = 0 then content else (case when low > 0 then '...' else g[1] end)
+      || array_to_string(list_transform(range(low + 1, least(n, low + 40) + 1), lambda i: (case when list_transform([w[i]], lambda x: {_HIT})[1] then '>>>' || w[i] || '<<<' else w[i] end) || (case when i < least(n, low + 40) then g[i + 1] else '' end)), '')
+      || (case when least(n, low + 40) < n then '...' else g[n + 1] end) end as snippet from l"""
+
+
+@query(_SNIPPETS)
 def fts_snippets(t: Tables) -> DataFrame:
     """The best twenty with a piece of their content."""
     return S.search_with_snippets(t.index, "shard buffer")
