@@ -47,6 +47,7 @@ LANGUAGE_NAMES = {
 _NAMES = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)" if k else v, re.I) for k, v in LANGUAGE_NAMES.items()}
 _JA_NAMES = {"en": "英語", "de": "ドイツ語", "fr": "フランス語", "ja": "日本語", "es": "スペイン語", "it": "イタリア語", "pt": "ポルトガル語", "nl": "オランダ語", "zh": "中国語", "ko": "韓国語", "ru": "ロシア語"}
 _SCRIPT = {code: regex.compile(rf"\p{{{name}}}") for code, name in SCRIPTS.items()}
+_ANY_SCRIPT = regex.compile("[" + "".join(rf"\p{{{name}}}" for name in SCRIPTS.values()) + "]")
 _LETTER_RUN = regex.compile(r"\p{L}+")
 
 # Instructions whose wanted answer declines something.
@@ -73,7 +74,7 @@ def language(text: str) -> str:
     if cjk and (kana >= 3 or cjk >= 4) and cjk >= len(words):
         # Without any kana a short text may still be Japanese.
         return "ja" if kana else "zh" if cjk >= 12 else ""
-    if not text.isascii():
+    if not text.isascii() and _ANY_SCRIPT.search(text):
         letters = sum(map(len, words))
         for code, script in _SCRIPT.items():
             if (n := len(script.findall(text))) >= 4 and 2 * n > letters:

@@ -85,18 +85,23 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for opening, band, bucket in zip(batch["opening"], batch["band"], batch["bucket"]):
             if (band, bucket) != at:
-                at, heads = (band, bucket), []
+                # Most buckets have one opening, whose runs nobody asks for.
+                at, heads = (band, bucket), [[opening, None]]
+                continue
             x = run_hashes(opening, 5)
             linked = False
-            for head, y in heads:
+            for held in heads:
+                if held[1] is None:
+                    held[1] = run_hashes(held[0], 5)
+                y = held[1]
                 if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= SIMILAR * (len(x) + len(y) - common):
-                    rows.append((opening, head))
+                    rows.append((opening, held[0]))
                     linked = True
             if not linked:
-                heads.append((opening, x))
+                heads.append([opening, x])
         yield pd.DataFrame(rows, columns=["a", "b"])
 
 
