@@ -28,7 +28,7 @@ FOUND = "doc_id long, start int, stop int, pii_type string, pii_text string"
 #: The most names a lexicon may hold to be sent to every task; more raise an error.
 LEXICON_ROWS = 5_000_000
 #: Known names that must stand beside words for them to introduce names, and the least share of all that is shaped like a name there.
-CUE_NAMES, CUE_SHARE = 3, 0.1
+CUE_NAMES, CUE_SHARE = 2, 0.1
 #: Draws after which a part that still shares its surrogate gets one with a growing number behind it.
 DRAWS = 12
 #: Digits of the seed from which items other than names are rendered; a number may follow them.
