@@ -17,7 +17,8 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ SHARD_TEXTS = 3000
 SAMPLE_TEXTS, SAMPLE_SHARD = 16_384, 8
 #: Counters of the term statistics, and length of the vectors that shards are fitted on.
 COUNTERS, WIDTH = 1 << 20, 256
+#: Characters of texts that are measured at once, and of their parts that a worker remembers.
+CHARACTERS = 1 << 22
 #: Postings that are summed up at once.
 POSTINGS = 1 << 20
 K1, B = 1.2, 0.75
@@ -152,16 +155,70 @@ def fill(sizes: np.ndarray, numbers: np.ndarray, scores: np.ndarray, capacity: i
     return container
 
 
+class Parts(dict):
+    """Numbers of what stands between the spaces of texts, with its tokens and terms, which are found once for each.
+
+    Neither a term nor a token reaches over a space that has no other white
+    space beside it, and there a token begins.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self.encode, self.characters = encode, 0
+        self.tokens: list[int] = []
+        self.broken: list[bool] = []
+        self.terms: list[list[int]] = []
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self.tokens)
+        self.characters += len(part)
+        self.tokens.append(len(self.encode(" " + part)))
+        self.broken.append(not part or part[0].isspace() or part[-1].isspace())
+        self.terms.append([hash_word(word) for word in _TERM.findall(part.lower())])
+        return number
+
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Tokens and words of each text, and its terms and their counts as ``term_counts`` gives them."""
+        split = [text.split(" ") for text in texts]
+        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n.sum()))
+        starts = np.cumsum(n) - n
+        tokens = np.array(self.tokens)[number]
+        # No space stands before a text's first part.
+        tokens[starts] = [len(self.encode(parts[0])) for parts in split]
+        tokens = np.add.reduceat(tokens, starts)
+        for i in np.flatnonzero(np.logical_or.reduceat(np.array(self.broken)[number], starts)):
+            tokens[i] = len(self.encode(texts[i]))
+        held = np.fromiter(map(len, self.terms), dtype=np.int64, count=len(self.terms))
+        codes, rank = np.unique(np.fromiter(chain.from_iterable(self.terms), dtype=np.int64, count=int(held.sum())), return_inverse=True)
+        m = held[number]
+        at = np.repeat((np.cumsum(held) - held)[number] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        words = np.add.reduceat(m, starts)
+        rows = np.repeat(np.arange(len(texts)) << 32, words) | rank[at]
+        rows.sort()
+        fresh = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]][: len(rows)])
+        counts = np.diff(np.r_[fresh, len(rows)]).astype(np.int32)
+        ends = np.searchsorted(rows[fresh] >> 32, np.arange(1, len(texts)))
+        return tokens, words, np.split(codes[rows[fresh] & 0xFFFFFFFF], ends), np.split(counts, ends)
+
+
+_PARTS: dict[tuple[str, str], Parts] = {}
+
+
 def _measure(folder: str, vocabulary: str):
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                size = len(encoding(folder, vocabulary).encode_ordinary(text)) if text and not text.isspace() else 0
-                if size:
-                    terms, counts = term_counts(text)
-                    rows.append((doc_id, size, int(counts.sum()), terms, counts))
-            yield pd.DataFrame(rows, columns=["doc_id", "tokens", "words", "terms", "counts"])
+            batch = batch[np.array([bool(text) and not text.isspace() for text in batch["text"]], dtype=bool)]
+            ids, texts = batch["doc_id"].to_numpy(), list(batch["text"])
+            ends = np.cumsum([len(text) for text in texts])
+            s = 0
+            while s < len(texts):
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + CHARACTERS, "right")))
+                parts = _PARTS.get((folder, vocabulary))
+                if parts is None or parts.characters > CHARACTERS:
+                    parts = _PARTS[folder, vocabulary] = Parts(encoding(folder, vocabulary).encode_ordinary)
+                tokens, words, terms, counts = parts.measure(texts[s:e])
+                yield pd.DataFrame({"doc_id": ids[s:e], "tokens": tokens, "words": words, "terms": terms, "counts": counts})[tokens > 0]
+                s = e
 
     return measure
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillmesh.llm import mixing, packing
@@ -195,3 +196,23 @@ def test_rare_sets_of_sources_stay_whole(spark, monkeypatch):
     most = min(sum(size.values()), sum(n for t, n in size.items() if t.startswith("record")) / 0.4)
     assert max(map(used.count, used)) == 1 and sum(size[t] for t in used) > 0.97 * most
     assert abs({r["source"]: r["actual_share"] for r in report.collect()}["b"] - 0.4) < 0.02
+
+
+def test_parts_between_spaces_are_measured_once_and_as_in_whole_texts(monkeypatch):
+    whole = packing.encoding().encode_ordinary
+    odd = ["a", " lead", "tail ", "two  spaces", "\n x", "x \n", "tab\t end", "it's 's 'll", "日本語のテキスト。 次の文\n\nΣΑΣ ΟΔΟΣ", "x  y", "  z", "\x1c a", "!! ?? 12 3a", "under_score a-b word,Word", "one\r\n\r\ntwo three", "İstanbul ß 😀 é é"]
+    texts = odd + [t for _, t in made(40, 4)] + [" ".join(odd)]
+    calls = []
+    parts = packing.Parts(lambda text: calls.append(text) or whole(text))
+    for some in (texts[:9], texts[9:], texts):
+        tokens, words, terms, counts = parts.measure(some)
+        assert tokens.tolist() == [len(whole(t)) for t in some]
+        for t, w, mine, n in zip(some, words, terms, counts):
+            codes, times = packing.term_counts(t)
+            assert mine.tolist() == codes.tolist() and n.tolist() == times.tolist() and w == times.sum()
+    assert sum(c == " index" for c in calls) == 1
+    monkeypatch.setattr(packing, "CHARACTERS", 30)
+    monkeypatch.setattr(packing, "_PARTS", {})
+    frame = pd.DataFrame({"doc_id": range(len(texts) + 2), "text": [None, " \n", *texts]})
+    got = pd.concat(packing._measure(packing.DEFAULT_FOLDER, packing.VOCABULARY)([frame, frame[:0]]))
+    assert got["doc_id"].tolist() == list(range(2, len(texts) + 2)) and got["tokens"].tolist() == [len(whole(t)) for t in texts]
